@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, toxicity, warc
+from . import ann, bpe, mixing, neardup, pii, pivots, quality, toxicity, warc
 from .common import table
 from .nets import fold
 
@@ -22,12 +22,20 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, net).withColumn("held_out", _held(TOXIC_FOLDS, TOXIC_HELD)).select("doc_id", "held_out", "score", "predicted", "lang_threshold", "lang_predicted")
 
 
+def op2_neardup(spark, sf_dir):
+    return neardup.dedup(table(spark, sf_dir, "documents"), threshold=0.85)
+
+
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     net = quality.fit(docs, table(spark, sf_dir, "labels"), ~_held(QUALITY_FOLDS, QUALITY_HELD))
     return quality.score(docs.select("doc_id", "text"), net).select("doc_id", _held(QUALITY_FOLDS, QUALITY_HELD).alias("held_out"), "score", "predicted")
 
 
+def op5_pivots(spark, sf_dir):
+    return pivots.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -41,13 +49,31 @@ def op8_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op6_pii, op7_warc, op8_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_neardup, op3_quality, op5_pivots, op6_pii, op7_warc, op8_bpe, op9_ann, op10_mixing)}
+
+
+#: Rows of op5 are the exact ranks, so SQL over all pairs of a query and a vector gives them.
+OP5_SQL = """
+WITH u AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_pivots": OP5_SQL}
