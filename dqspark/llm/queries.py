@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, neardup, pii, pivots, quality, toxicity, warc
+from . import ann, bpe, mixing, neardup, pii, pivots, quality, suffixes, toxicity, warc
 from .common import table
 from .nets import fold
 
@@ -32,6 +32,10 @@ def op3_quality(spark, sf_dir):
     return quality.score(docs.select("doc_id", "text"), net).select("doc_id", _held(QUALITY_FOLDS, QUALITY_HELD).alias("held_out"), "score", "predicted")
 
 
+def op4_suffixes(spark, sf_dir):
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_pivots(spark, sf_dir):
     return pivots.search(table(spark, sf_dir, "embeddings"))
 
@@ -58,7 +62,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_neardup, op3_quality, op5_pivots, op6_pii, op7_warc, op8_bpe, op9_ann, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_neardup, op3_quality, op4_suffixes, op5_pivots, op6_pii, op7_warc, op8_bpe, op9_ann, op10_mixing)}
 
 
 #: Rows of op5 are the exact ranks, so SQL over all pairs of a query and a vector gives them.
