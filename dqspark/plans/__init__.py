@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("flagship", "histories", "analytics", "ruleplans")
+MODULES = ("flagship", "histories", "analytics", "ruleplans", "tuning")
 
 
 def queries():
