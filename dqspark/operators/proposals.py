@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.guards import filter_text
 from ..rules import ir
 from ..rules.ir import Guard, Rule
-from ..rules.render import render
+from ..rules.render import render, render_where
 from ..sources.spec import DAILY, Grain
 from . import backtest as BT
 from . import history as H
@@ -311,3 +312,25 @@ def robust_choice(s: DataFrame, n: int, k: float = 2.0) -> DataFrame:
     rows = width(S.sigma_band(s, n, k), "sw").join(width(S.iqr_band(s, n), "iw"), "series_id").join(S.outliers(s, n=n).groupBy("series_id").agg(F.count("*").alias("o")), "series_id", "left")
     ratio = F.when((F.col("sw") > 0) & (F.col("iw") > 0), F.col("sw") / F.col("iw"))
     return rows.select("series_id", F.coalesce(F.when((ratio > 2) & (F.coalesce("o", F.lit(0)) >= 2), "robust_iqr").when(ratio > 3, "robust_mad"), F.lit("classical")).alias("choice"))
+
+
+def recalculated(histories: DataFrame, old: DataFrame, guard: Guard, grain: Grain = DAILY) -> DataFrame:
+    """The same proposals under other parameters: banded, backtested, scored and ordered anew; fixed frequency bands stay as they are."""
+    fixed = old.where(F.col("rule_type") == ir.FREQ_STATIC)
+    new = recommended(numeric(histories, guard, grain), grain).join(old.select("proposal_id"), "proposal_id", "left_semi")
+    return new.unionByName(fixed, allowMissingColumns=True)
+
+
+def subpopulation(df: DataFrame, column: str, condition: str, guard: Guard = Guard(), grain: Grain = DAILY) -> DataFrame:
+    """Numeric proposals of the rows that meet a condition; their rules are rendered with it (see `where_texts`)."""
+    rows = df.where(F.expr(filter_text(condition)))
+    return numeric(H.numeric(rows, column).withColumn("column_name", F.lit(column)), guard, grain)
+
+
+def where_texts(p: DataFrame, condition: str) -> DataFrame:
+    """proposal_id, rule: the rules restricted by a condition; whole-table rules keep their plain text."""
+    rows = []
+    for r in p.select(*BASE[:-1]).collect():
+        rule = rule_of(r)
+        rows.append((r["proposal_id"], render_where(rule, condition) or render(rule)))
+    return p.sparkSession.createDataFrame(rows, RENDERED)

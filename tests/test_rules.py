@@ -63,3 +63,38 @@ def test_stale_after_change(spark):
     from pyspark.sql import functions as F
 
     assert RS.stale(out.withColumn("rule", F.lit("RowCount >= 2"))).count() == 1
+
+
+def test_words_for_everything(spark):
+    from dqspark.rules import explain
+
+    for kind in ir.RULE_TYPES:
+        assert explain.rule(Rule(kind, "a", Guard(floor=1.0), 0.5, 0.9, ("a",), "x"))
+    assert explain.trade_offs(Rule(ir.MEAN, "a")) and not explain.trade_offs(Rule(ir.COMPLETENESS, "a"))
+    assert len(explain.regime({"regime": "VOLATILE", "secondary_regimes": ["SPARSE"]})) == 2
+    assert explain.result({"outcome": "Failed", "metrics": {"m": 0.5}, "lower_bound": 1.0, "upper_bound": None, "failure_reason": "low"}) == "Failed: m = 0.5; expected 1 to -; low"
+    assert explain.history_gap(0, 7) and explain.history_gap(3, 7) and explain.history_gap(9, 7) is None
+    assert "latest month" in explain.date_condition("MONTH", "MAX_VALUE")
+
+
+def test_subpopulations_and_new_parameters(spark):
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from dqspark.operators import proposals as PR
+
+    r = random.Random(1)
+    rows = [(dt.date(2025, 1, 1) + dt.timedelta(i), r.gauss(100, 5), "ab"[j % 2]) for i in range(30) for j in range(8)]
+    df = spark.createDataFrame(rows, "period date, x double, g string")
+    p = PR.subpopulation(df, "x", "g = 'a'", Guard(10)).persist()
+    assert {r["rule_type"] for r in p.collect()} == {ir.MEAN, ir.STDDEV, ir.COMPLETENESS}
+    texts = [r["rule"] for r in PR.where_texts(p, "g = 'a'").collect()]
+    assert all("from primary where g = 'a'" in t and parse.parse(t) for t in texts)
+    from dqspark.operators import history as H
+
+    h = H.numeric(df, "x").withColumn("column_name", F.lit("x"))
+    old = PR.recommended(PR.numeric(h, Guard(10)))
+    new = PR.recalculated(h, old, Guard(15, 3.0))
+    assert new.count() == old.count() and {r["n"] for r in new.collect()} == {15}
