@@ -65,6 +65,28 @@ def queries():
     return {f.__name__: f for f in (op1_toxicity, op2_neardup, op3_quality, op4_suffixes, op5_pivots, op6_pii, op7_warc, op8_bpe, op9_ann, op10_mixing)}
 
 
+#: Links by all pairs that share a shingle, and what each document reaches.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets), sh AS (SELECT doc_id, unnest(s) AS s FROM sets),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+r AS (SELECT doc_id AS v, doc_id AS m FROM n UNION SELECT b, m FROM r JOIN both_ways ON v = a)
+SELECT n.doc_id, n.n AS n_shingles, min(m) AS component_id, min(m) = n.doc_id AS kept FROM n JOIN r ON r.v = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+#: What the archives hold follows from the pages alone.
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, html, array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT) >> (15 - 5 * j)) & 31 AS INTEGER) + 1, 1) FOR j IN range(4)], '') FOR i IN range(8)], '') AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM d)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
+"""
+
 #: Rows of op5 are the exact ranks, so SQL over all pairs of a query and a vector gives them.
 OP5_SQL = """
 WITH u AS (
@@ -80,4 +102,4 @@ FROM s QUALIFY rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pivots": OP5_SQL}
+    return {"op2_neardup": OP2_SQL, "op5_pivots": OP5_SQL, "op7_warc": OP7_SQL}

@@ -59,6 +59,17 @@ def test_contract_columns(spark, small, name):
         assert out.count() == spark.read.parquet(f"{small}/{table}.parquet").count()
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, small, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    cursor = c.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(map(str, cursor.fetchall())) == sorted(str(tuple(r)) for r in queries.queries()[name](spark, small).select(*names).collect())
+
+
 def test_held_out_folds_are_learnt_about(spark):
     """Held-out accuracy on more labels than the smallest tables have."""
     from pathlib import Path
