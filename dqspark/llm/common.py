@@ -61,6 +61,13 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def seeded(df: DataFrame, key, n: int, total: int, seed: int, room: int = 4) -> DataFrame:
+    """About room * n of `total` rows, by a hash of `key`, with it as _hash: few rows reach whoever takes the n least of them, however many partitions there are."""
+    h = F.xxhash64(F.lit(seed), key).bitwiseAND(F.lit((1 << 31) - 1))
+    cut = (1 << 31) if total <= room * n else (room * n * (1 << 31)) // total
+    return df.withColumn("_hash", h).where(F.col("_hash") < cut)
+
+
 def text_column(name: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

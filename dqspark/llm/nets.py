@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import seeded, text_column
 
 
 def fold(mod: int):
@@ -24,7 +24,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
     shares = dict(known.groupBy("y").count().collect())
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(rows_per_class)
+        part = seeded(known.where(F.col("y") == y), F.col("doc_id"), rows_per_class, shares.get(y, 0), seed).orderBy("_hash", "doc_id").limit(rows_per_class).drop("_hash")
         chosen = part if chosen is None else chosen.unionByName(part)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     body = docs.select("doc_id", text_column().alias("text"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang")).where(F.octet_length("text") <= max_bytes)

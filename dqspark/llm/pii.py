@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_column
+from .common import seeded, slices, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 _AT_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -229,8 +229,9 @@ def spans(texts, model: dict[str, np.ndarray], confidence: float = CONFIDENCE) -
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 5) -> dict[str, np.ndarray]:
     """Train on at most `rows` texts of at most `chars` characters that hold a digit or an @, chosen by hash."""
-    sample = docs.select(F.xxhash64(F.lit(seed), "text").alias("h"), "text").where((F.length("text") <= chars) & F.col("text").rlike("[0-9]{4}|@"))
-    return train([r["text"] for r in sample.orderBy("h").limit(rows).collect()], seed)
+    some = seeded(docs.select("text"), F.col("text"), rows, docs.count(), seed, room=8)
+    sample = some.where((F.length("text") <= chars) & F.col("text").rlike("[0-9]{4}|@"))
+    return train([r["text"] for r in sample.orderBy("_hash", "text").limit(rows).collect()], seed)
 
 
 def find(docs: DataFrame, model: dict | None = None, confidence: float = CONFIDENCE) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, buffers, mix64, powers, prefix_hashes, slices, span_hashes, text_column
+from .common import Workspace, buffers, mix64, powers, prefix_hashes, seeded, slices, span_hashes, text_column
 from .neardup import _bounds, _grouped
 
 LENGTH, GRAM = 100, 20
@@ -278,7 +278,8 @@ def removed_windows(runs: list[Run], length: int, gram: int = GRAM):
 
 def sort_and_compare(rows: DataFrame, borders: DataFrame, length: int, partitions: int, gram: int = GRAM) -> DataFrame:
     """(uid, start, end) of ranges that repeat, from the segments that go on."""
-    sample = rows.where(F.octet_length("text").between(length, SPLIT_CHARS)).orderBy(F.xxhash64("uid")).limit(SPLIT_DOCS).select("text").toArrow()
+    some = seeded(rows, F.col("uid"), SPLIT_DOCS, rows.count(), 7).where(F.octet_length("text").between(length, SPLIT_CHARS))
+    sample = some.orderBy("_hash").limit(SPLIT_DOCS).select("text").toArrow()
     data, offsets = buffers(sample.column(0).combine_chunks()) if len(sample) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
     raw = data.tobytes()
     grams = sorted({raw[a : a + gram] for a in anchors(data, offsets, length)[2].tolist()})

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import seeded
+
 
 def usable(df: DataFrame, nonzero: bool = False) -> DataFrame:
     """(vec_id, v): rows whose vector is neither null nor holds a null, NaN or infinite component[, nor is zero]."""
@@ -35,7 +37,7 @@ def lists(x: np.ndarray) -> pa.Array:
 
 def sample(rows: DataFrame, n: int, dim: int, seed: int = 29) -> np.ndarray:
     """At most n distinct vectors, chosen by hash; documented bound of what the driver holds."""
-    found = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64(F.lit(seed), "v")).limit(n).select("v").toArrow()
+    found = seeded(rows, F.col("v"), n, rows.count(), seed).select("_hash", "v").distinct().orderBy("_hash", "v").limit(n).select("v").toArrow()
     return matrix(found.column(0).combine_chunks(), dim) if len(found) else np.zeros((0, dim))
 
 
