@@ -57,7 +57,7 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", F.least(cap, share) if level is not None else cap)
 
 
-def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 17, work: Workspace | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 17, work: Workspace | None = None) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every row of docs(doc_id, text, source).
 
     A source's documents are all taken floor(target / size) times whole; in a seeded order they are
@@ -65,9 +65,16 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_epochs: float = 3.0, seed:
     buckets: sums of buckets are cumulated, and only the bucket at which a source's target falls is ordered
     row by row, so that no source meets in one task. `weights` repeat over the sources in code point order.
     """
+    return _mixed(docs, (), weights, max_epochs, seed, work)
+
+
+def _mixed(docs: DataFrame, carried: tuple[str, ...], weights=(1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 17, work: Workspace | None = None) -> DataFrame:
+    """:func:`mix`, with the i-th carried column as _c<i>, so that no name of the input meets one of these."""
     work = work or Workspace(docs.sparkSession, "mix")
+    keep = tuple(f"_c{i}" for i in range(len(carried)))
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sizes = work.save(docs.select("doc_id", "source", *keep, n_words(text_column()).alias("size"), h.alias("h")), "sizes")
+    counted = docs.select("doc_id", "source", *[F.col(c).alias(k) for c, k in zip(carried, keep)], n_words(text_column()).alias("size"), h.alias("h"))
+    sizes = work.save(counted.drop(*keep), "sizes")
     n = sizes.count()
     buckets = 1 << max(4, min(16, (n // BUCKET_ROWS).bit_length()))
     sizes = sizes.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
@@ -81,7 +88,9 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_epochs: float = 3.0, seed:
     s, f = sources.alias("s"), filled.alias("f")
     plan = f.join(s, F.col("f.source").eqNullSafe(F.col("s.source"))).select("f.source", "bucket", "before", "bucket_size", "source_size", "target", "whole", "extra")
     plan = work.save(plan, "plan")
-    d, p = sizes.alias("d"), plan.alias("p")
+    # columns that are kept come from docs, whose sizes are counted again rather than written with the text
+    rows = counted.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets))) if keep else sizes
+    d, p = rows.alias("d"), plan.alias("p")
     joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket"))).select("d.*", "before", "bucket_size", "source_size", "target", "whole", "extra")
     at_edge = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("bucket_size") > F.col("extra"))
     outside = joined.where(~at_edge).withColumn("more", F.when(F.col("before") + F.col("bucket_size") <= F.col("extra"), F.col("size")).otherwise(F.lit(0)))
@@ -92,21 +101,23 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_epochs: float = 3.0, seed:
     return outside.unionByName(edge).select("doc_id", "source", *keep, F.col("size").cast("long"), "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def repeated(docs: DataFrame, mixed_columns: list[str] | None = None, **options) -> DataFrame:
+def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs' rows as often as they are taken; a fraction of a document is its first words.
 
     The text is carried through the mix, so that rows whose ids repeat stay apart.
     """
-    columns = mixed_columns or docs.columns
-    kept = tuple(c for c in columns if c not in ("doc_id", "source"))
-    rows = mix(docs, keep=kept, **options)
-    whole, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
-    times = F.when(F.col("size") > 0, F.sequence(F.lit(1), whole.cast("int") + F.when(part > 0, 1).otherwise(0))).otherwise(F.array().cast("array<int>"))
+    names = docs.columns
+    at = {c: f"_c{i}" for i, c in enumerate(names)}
+    rows = _mixed(docs, tuple(names), **options)
+    some = F.greatest(F.col("size"), F.lit(1))
+    whole, part = F.floor(F.col("taken") / some), F.col("taken") % some
+    times = F.sequence(F.lit(1), whole.cast("int") + F.when(part > 0, 1).otherwise(0))
     times = F.when(F.col("taken") > 0, times).otherwise(F.array().cast("array<int>"))
     out = rows.withColumn("_whole", whole).withColumn("_part", part.cast("int")).withColumn("_time", F.explode(times))
-    words = F.regexp_extract_all("text", F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_part")), "")
-    out = out.withColumn("text", F.when(F.col("_time") > F.col("_whole"), cut).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_time") > F.col("_whole"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    cut, text = F.col("_time") > F.col("_whole"), F.col(at["text"])
+    words = F.regexp_extract_all(text, F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    out = out.withColumn("_text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_part")), "")).otherwise(text))
+    shown = {c: F.col(k) for c, k in at.items()} | {"text": F.col("_text")}
+    if "n_chars" in at:
+        shown["n_chars"] = F.when(cut, F.length("_text").cast("long")).otherwise(F.col(at["n_chars"]))
+    return out.select(*[c.alias(n) for n, c in shown.items()])
