@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one link only, and none is a smaller end too."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))
+    return ends.groupBy("v").agg(F.sum("x").alias("x"), F.max("y").alias("y")).where("x > 1 OR x + y > 1").isEmpty()
+
+
 def components(links: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
     """(v, comp) for each vertex of links(a, b) that isn't the smallest of its component; comp is the smallest."""
     edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, seen = work.save(edges, f"{name}-0"), None
-    state = None
-    for turn in range(1, 200):
+    edges = work.save(edges, f"{name}-0")
+    turn = 0
+    while not are_stars(edges):
+        turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -27,9 +34,5 @@ def components(links: DataFrame, work: Workspace, name: str = "components") -> D
         rest = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = low.select("a", F.col("m").alias("b")).unionByName(rest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
         edges = work.save(small, f"{name}-{turn}")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         work.drop(f"{name}-{turn - 1}")
-        if state == seen:
-            break
-        seen = state
     return edges.select(F.col("a").alias("v"), F.col("b").alias("comp"))

@@ -6,8 +6,10 @@ root, and at every node takes the two sketch positions that the node's path choo
 children. Vertices that meet at a node of depth 3 are candidates; a pair at the threshold meets in a tree with the
 probability of a branching process that survives, and there are as many trees as the target recall asks for.
 Nodes are compared exhaustively, in blocks, but for pairs that links already connect: in the first rounds each member
-takes its most similar sketch among a node's sample, and nodes that such links don't connect are compared in full.
-Large ones of them first branch two levels further. A candidate is a link only if the full sets confirm it.
+takes its most similar sketch among a node's most central members and a few others. Vertices that are then similar to one of another
+component get a second, wide sketch, or carry their set if that is small, which settles pairs below the threshold. Each takes its best by this
+sketch, and what these links too leave apart is compared in full; a pair that meets in several nodes is taken in the first
+of them. Very large nodes first branch two levels further. A candidate is a link only if the full sets confirm it.
 
 Defined results: a document of fewer than five words is one shingle, its whole sequence; a document without words, or
 with a null text, has no shingles and is linked with nothing; rows that repeat are in one component; a null id is linked
@@ -30,14 +32,17 @@ from .components import components
 
 WORDS, SKETCH, DEPTH, BRANCH = 5, 128, 3, 2
 THRESHOLD, RECALL = 0.8, 0.999999
-#: Members of a node that are compared in one task, and of these the sample that first rounds look at.
-BLOCK, SAMPLE = 2048, 64
+#: Members of a node that are compared in one task, of these the sample that first rounds look at, and the size at which nodes branch on.
+BLOCK, SAMPLE, BRANCH_ON = 2048, 64, 1 << 15
 #: Ids that are broadcast at most, 16 MB; beyond that the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 _STEP = 0x9E3779B97F4A7C15
 #: Odd factors: of the words of a shingle, and of the minwise functions.
 _PLACE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(_STEP)) | np.uint64(1)
 _MINWISE = mix64(np.arange(101, 101 + SKETCH, dtype=np.uint64) * np.uint64(_STEP)) | np.uint64(1)
+#: The wide sketch: one byte of each of so many other minwise values. Sets up to SMALL members go as they are, and are compared exactly.
+WIDE, SMALL = 1024, 256
+_WIDE = mix64(np.arange(10_001, 10_001 + WIDE, dtype=np.uint64) * np.uint64(_STEP)) | np.uint64(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +70,8 @@ def _sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(h, first), np.add.reduceat(mix64(h + np.uint64(_STEP)), first)], 1)
 
 
-def signed(batches, sketches: bool):
-    """Per text: number of shingles, the set's key, and its sketch or its members."""
+def signed(batches, what: str):
+    """Per text: number of shingles, the set's key, and its sketch, its wide sketch or its members."""
     for batch in batches:
         data, offsets = buffers(batch.column(1))
         for i, j in slices(offsets):
@@ -76,17 +81,25 @@ def signed(batches, sketches: bool):
             keys, extra = np.full(j - i, None, object), np.full(j - i, None, object)
             if len(h):
                 keys[full] = [k.tobytes() for k in _sums(h, first)]
-                if sketches:
-                    values = np.empty((len(first), SKETCH), np.uint16)
-                    for k in range(SKETCH):
-                        values[:, k] = np.minimum.reduceat(h * _MINWISE[k], first) >> np.uint64(48)
-                    extra[full] = [v.tobytes() for v in values]
+                if what == "members":
+                    extra[full] = _objects(np.split(h.view(np.int64), first[1:]))
                 else:
-                    extra[full] = np.split(h.view(np.int64), first[1:])
-            kind = pa.binary() if sketches else pa.list_(pa.int64())
+                    factors, shift, kind = (_MINWISE, 48, np.uint16) if what == "sketch" else (_WIDE, 56, np.uint8)
+                    values = np.empty((len(first), len(factors)), kind)
+                    for k, f in enumerate(factors):
+                        values[:, k] = np.minimum.reduceat(h * f, first) >> np.uint64(shift)
+                    extra[full] = [v.tobytes() if what == "sketch" or size > SMALL else m.tobytes() for v, m, size in zip(values, np.split(h, first[1:]), n[full])]
+            kind = pa.list_(pa.int64()) if what == "members" else pa.binary()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(extra, kind)], ["doc_id", "n", "key", "extra"])
 
 
+def _objects(parts: list) -> np.ndarray:
+    out = np.empty(len(parts), object)
+    for i, x in enumerate(parts):
+        out[i] = x
+    return out
+
+
 def trees_for(threshold: float, recall: float) -> int:
     """Trees after which a pair at the threshold has met with the target probability."""
     s = 1.0
@@ -113,33 +126,40 @@ def _sketches(column) -> np.ndarray:
     return buffers(column)[0].view(np.uint16).reshape(len(column), SKETCH)
 
 
+def leaves_of(sketch: np.ndarray, trees: int) -> np.ndarray:
+    """Nodes of depth DEPTH of all trees, one column each."""
+    roots = [mix64(np.full(len(sketch), t + 1, np.uint64) * np.uint64(_STEP)) for t in range(trees)]
+    return np.concatenate([children(r, sketch, DEPTH) for r in roots], 1)
+
+
 def paths(reps: DataFrame, trees: int) -> DataFrame:
-    """(node, rid): the nodes of depth DEPTH that each vertex reaches in each tree."""
+    """(node, rid, leaf): the nodes of depth DEPTH that each vertex reaches, and by which path."""
 
     def run(batches):
         for batch in batches:
-            sketch = _sketches(batch.column(1))
-            for t in range(trees):
-                root = mix64(np.full(len(sketch), t + 1, np.uint64) * np.uint64(_STEP))
-                nodes = children(root, sketch, DEPTH)
-                rid = np.repeat(batch.column(0).to_numpy(), nodes.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rid)], ["node", "rid"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                nodes = leaves_of(_sketches(part.column(1)), trees)
+                rid, leaf = np.repeat(part.column(0).to_numpy(), nodes.shape[1]), np.tile(np.arange(nodes.shape[1], dtype=np.int32), len(nodes))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rid), pa.array(leaf)], ["node", "rid", "leaf"])
 
-    return reps.select("rid", "sketch").mapInArrow(run, "node long, rid long")
+    return reps.select("rid", "sketch").mapInArrow(run, "node long, rid long, leaf int")
 
 
 def deeper(members: DataFrame, levels: int = 2) -> DataFrame:
+    """(node, rid, leaf): children of very large nodes; their leaf is -1."""
+
     def run(batches):
         for batch in batches:
             nodes = children(batch.column(0).to_numpy().view(np.uint64), _sketches(batch.column(2)), levels)
             rid = np.repeat(batch.column(1).to_numpy(), nodes.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rid)], ["node", "rid"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rid), pa.array(np.full(len(rid), -1, np.int32))], ["node", "rid", "leaf"])
 
-    return members.select("node", "rid", "sketch").mapInArrow(run, "node long, rid long")
+    return members.select("node", "rid", "sketch").mapInArrow(run, "node long, rid long, leaf int")
 
 
 def shared_nodes(rows: DataFrame) -> DataFrame:
-    """(node, rid, size) of nodes that hold two vertices at least; of nodes with the same vertices one is kept."""
+    """(node, rid, leaf, size) of nodes that hold two vertices at least; of nodes with the same vertices one is kept."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rid")).alias("who")).where("size > 1")
     return rows.join(nodes.groupBy("size", "who").agg(F.min("node").alias("node")).select("node", "size"), "node")
 
@@ -179,6 +199,17 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sampled(sketch: np.ndarray, rid: np.ndarray, turn: int) -> np.ndarray:
+    """Places of a node's sample: those that agree most with the commonest value of each position, and a seeded quarter."""
+    if len(rid) <= SAMPLE:
+        return np.arange(len(rid))
+    seeded = np.argsort(mix64(rid.view(np.uint64) + np.uint64(turn * 7919)))
+    some = np.sort(sketch[seeded[:257]], axis=0)
+    middle = some[len(some) // 2]  # a value that most share is the median too
+    central = np.argsort(-(sketch == middle).sum(1), kind="stable")
+    return np.unique(np.concatenate([central[: SAMPLE - SAMPLE // 4], seeded[: SAMPLE // 4]]))
+
+
 def candidates(members: DataFrame, least: int, threshold: float, turn: int, partitions: int) -> DataFrame:
     """(a, b): each member's most similar vertex of another component, among a sample of its node's block."""
     rows = members.withColumn("block", F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / BLOCK)))
@@ -200,7 +231,7 @@ def candidates(members: DataFrame, least: int, threshold: float, turn: int, part
             for s, e in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2]):
                 if comp[s:e].min() == comp[s:e].max():
                     continue
-                order = np.argsort(mix64(rid[s:e].view(np.uint64) + np.uint64(turn * 7919)))[:SAMPLE] + s
+                order = _sampled(sketch[s:e], rid[s:e], turn) + s
                 agree = _agreeing(sketch[s:e], sketch[order])
                 fit = np.minimum(n[s:e, None], n[order][None]) >= threshold * np.maximum(n[s:e, None], n[order][None]) - 1e-9
                 agree = np.where(fit & (comp[s:e, None] != comp[order][None]), agree, -1)
@@ -214,39 +245,109 @@ def candidates(members: DataFrame, least: int, threshold: float, turn: int, part
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def all_candidates(members: DataFrame, least: int, threshold: float, partitions: int) -> DataFrame:
-    """(a, b): all similar sketches of a node that are in different components.
-
-    Members outside the node's most frequent component are compared with all members, block by block on both sides.
-    """
-    counts = members.groupBy("node", "comp").agg(F.count("*").alias("k"))
+def _similar(rows: DataFrame, partitions: int) -> DataFrame:
+    """Rows of nodes dealt so that members outside the most frequent component meet all members, block by block on both sides."""
+    counts = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
     most = counts.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
-    most = most.select("node", F.col("top.comp").alias("top"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("p_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("m_blocks"))
-    rows = members.join(most, "node")
+    most = most.select("node", F.col("top.comp").alias("top"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("p_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("m_blocks")).where("p_blocks > 0")
+    names = [c for c in rows.columns if c != "size"]
+    rows = rows.join(most, "node")
     h = F.xxhash64("rid")
     probes = rows.where("comp != top").withColumn("p", F.pmod(h, F.col("p_blocks")).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1))).withColumn("role", F.lit(1))
     others = rows.withColumn("m", F.pmod(h, F.col("m_blocks")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1))).withColumn("role", F.lit(0))
-    names = ["node", "p", "m", "rid", "comp", "n", "sketch", "role"]
-    both = probes.select(*names).unionByName(others.select(*names)).repartition(partitions, "node", "p", "m").sortWithinPartitions("node", "p", "m")
+    columns = ["node", "p", "m", "role", *[c for c in names if c != "node"]]
+    return probes.select(*columns).unionByName(others.select(*columns)).repartition(partitions, "node", "p", "m").sortWithinPartitions("node", "p", "m")
+
+
+def _pairs(t, least: int, threshold: float):
+    """(i, j): places of probes and members of one block whose components differ and whose sketches are similar."""
+    node, p, m, role = (t.column(k).to_numpy() for k in range(4))
+    rid, comp, n, sketch = t.column("rid").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), _sketches(t.column("sketch").chunk(0))
+    cuts = _bounds(node, p, m)
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        i, j = np.flatnonzero(role[s:e] == 1) + s, np.flatnonzero(role[s:e] == 0) + s
+        for k in range(0, len(i) if len(j) else 0, 256):
+            q = i[k : k + 256]
+            good = (_agreeing(sketch[q], sketch[j]) >= least) & (comp[q][:, None] != comp[j][None])
+            good &= np.minimum(n[q][:, None], n[j][None]) >= threshold * np.maximum(n[q][:, None], n[j][None]) - 1e-9
+            x, y = np.nonzero(good)
+            if len(x):
+                yield q[x], j[y]
+
+
+def involved(rows: DataFrame, least: int, threshold: float, partitions: int) -> DataFrame:
+    """(rid): vertices that are similar to one of another component."""
 
     def run(batches):
         for t in _grouped(batches, 3):
-            node, p, m, rid, comp, n = (t.column(k).to_numpy() for k in range(6))
-            sketch, role = _sketches(t.column(6).chunk(0)), t.column(7).to_numpy()
-            cuts = _bounds(node, p, m)
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                i, j = np.flatnonzero(role[s:e] == 1) + s, np.flatnonzero(role[s:e] == 0) + s
-                if not len(i) or not len(j):
-                    continue
-                for k in range(0, len(i), 256):
-                    q = i[k : k + 256]
-                    good = (_agreeing(sketch[q], sketch[j]) >= least) & (comp[q][:, None] != comp[j][None])
-                    good &= np.minimum(n[q][:, None], n[j][None]) >= threshold * np.maximum(n[q][:, None], n[j][None]) - 1e-9
-                    x, y = np.nonzero(good)
-                    a, b = rid[q[x]], rid[j[y]]
+            rid = t.column("rid").to_numpy()
+            found = [rid[np.unique(np.concatenate(ij))] for ij in _pairs(t, least, threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*found, np.zeros(0, np.int64)])))], ["rid"])
+
+    return _similar(rows.select("node", "rid", "comp", "n", "sketch"), partitions).mapInArrow(run, "rid long").distinct()
+
+
+def wide_candidates(rows: DataFrame, wide: DataFrame, least: int, threshold: float, trees: int, partitions: int, best: bool) -> DataFrame:
+    """(a, b): pairs of different components that are similar by both sketches.
+
+    Either each probe's best in a block, or all; each from the first node that it meets in. Small sets are compared as they are.
+    """
+    rows = rows.join(wide, "rid")
+    mask = rows.where("leaf >= 0").groupBy("rid").agg(F.bit_or(F.expr("shiftleft(1L, leaf)")).alias("mask"))
+    rows = rows.join(mask, "rid", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    least_wide = threshold - 5 * math.sqrt(threshold * (1 - threshold) / WIDE)
+
+    def run(batches):
+        for t in _grouped(batches, 3):
+            rid, leaf, mask = t.column("rid").to_numpy(), t.column("leaf").to_numpy(), t.column("mask").to_numpy()
+            data, at = buffers(t.column("wide").chunk(0))
+            large = t.column("n").to_numpy() > SMALL
+            bytes_ = np.zeros((len(rid), WIDE), np.uint8)
+            for x in np.flatnonzero(large):
+                bytes_[x] = data[at[x] : at[x + 1]]
+            members = [None if big else data[p:q].tobytes() for big, p, q in zip(large, at[:-1].tolist(), at[1:].tolist())]
+            members = [None if m is None else np.frombuffer(m, np.uint64) for m in members]
+            paths_, bits = leaves_of(_sketches(t.column("sketch").chunk(0)), trees), np.arange(trees * BRANCH**DEPTH)
+            for i, j in _pairs(t, least, threshold):
+                for k in range(0, len(i), 4096):
+                    a, b = i[k : k + 4096], j[k : k + 4096]
+                    shared = (paths_[a] == paths_[b]) & (((mask[a] & mask[b])[:, None] >> bits[None]) & 1).astype(bool)
+                    first = (leaf[a] < 0) | (shared.argmax(1) == leaf[a])
+                    a, b = a[first], b[first]
+                    alike = ((bytes_[a] == bytes_[b]).sum(1) / WIDE - 1 / 256) / (1 - 1 / 256)
+                    good = alike >= least_wide
+                    for x in np.flatnonzero(~large[a] | ~large[b]):
+                        u, v = members[a[x]], members[b[x]]
+                        if u is None or v is None:
+                            alike[x], good[x] = threshold, True  # one of either kind: left to the full sets
+                            continue
+                        both = len(np.intersect1d(u, v, assume_unique=True))
+                        alike[x] = both / (len(u) + len(v) - both)
+                        good[x] = alike[x] >= threshold - 1e-9
+                    a, b, alike = a[good], b[good], alike[good]
+                    if best:
+                        order = np.lexsort((-alike, a))
+                        a, b = a[order], b[order]
+                        top = np.ones(len(a), bool)
+                        top[1:] = a[1:] != a[:-1]
+                        a, b = a[top], b[top]
+                    a, b = rid[a], rid[b]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    names = ["node", "rid", "comp", "n", "sketch", "leaf", "mask", "wide"]
+    return _similar(rows.select(*names), partitions).mapInArrow(run, "a long, b long").distinct()
+
+
+def from_texts(rows: DataFrame, ids: DataFrame, what: str) -> DataFrame:
+    """(rid, extra) for ids(rid, key, first_id): full sets or wide sketches, from the texts that they were first seen in.
+
+    A list of ids that is small enough is broadcast, and no text is shuffled; rows that repeat an id give a set more than once,
+    which changes no link.
+    """
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    some = rows.join(ids.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
+    found = some.mapInArrow(lambda b: signed(b, what), "doc_id long, n long, key binary, extra " + ("array<long>" if what == "members" else "binary"))
+    return found.join(ids.select("rid", "key"), "key").select("rid", "extra")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
@@ -257,49 +358,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= F.lit(percent) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def judged(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rounds: int = 2, work: Workspace | None = None) -> DataFrame:
+def merged(comps: DataFrame | None, links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Components after further links: these are drawn between the components so far, so each pair of those counts once."""
+    if comps is None:
+        return components(links, work, name)
+    for end in ("a", "b"):
+        own = comps.select(F.col("v").alias(end), F.col("comp").alias("c"))
+        links = links.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    new = components(links.where("a != b").distinct(), work, name)
+    moved = comps.join(new.select(F.col("v").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("v", F.coalesce("to", "comp").alias("comp"))
+    return work.save(moved.unionByName(new), f"{name}-all")
+
+
+def judged(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rounds: int = 1, work: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and the set's key for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "neardup")
     percent = round(100 * threshold, 6)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     rows = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
-    schema = "doc_id long, n long, key binary, extra "
-    signs = work.save(rows.mapInArrow(lambda b: signed(b, True), schema + "binary"), "signs")
+    signs = work.save(rows.mapInArrow(lambda b: signed(b, "sketch"), "doc_id long, n long, key binary, extra binary"), "signs")
     some = signs.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     reps = some.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("extra").alias("sketch"))
     reps = work.save(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
-    members = work.save(shared_nodes(paths(reps, trees_for(threshold, recall))), "members")
-    near = work.save(members.select("rid").distinct().join(reps.select("rid", "key", "first_id"), "rid"), "near")
-    ids = near.select(F.col("first_id").alias("doc_id")).distinct()
-    if near.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    full = rows.join(ids, "doc_id", "left_semi").mapInArrow(lambda b: signed(b, False), schema + "array<long>")
-    sets = work.save(full.dropDuplicates(["key"]).join(near.select("rid", "key"), "key").select("rid", F.col("extra").alias("members")), "sets")
+    trees = trees_for(threshold, recall)
+    if trees * BRANCH**DEPTH > 62:
+        raise ValueError("so low a threshold takes more trees than there are bits for paths")
+    members = work.save(shared_nodes(paths(reps, trees)), "members")
+    work.release()
     least = math.floor(SKETCH * threshold - 5 * math.sqrt(SKETCH * threshold * (1 - threshold)))
-    info = reps.select("rid", "n", "sketch")
-    found = members.select("node", "rid", "size")
-    comps = links = None
-    for turn in range(rounds + 1):
+    info, keyed_ids = reps.select("rid", "n", "sketch"), reps.select("rid", "key", "first_id")
+    found = members.select("node", "rid", "leaf", "size")
+    comps = sets = None
+    wide, last = None, rounds + 1
+    for turn in range(last + 1):
         state = found if comps is None else found.join(comps, found["rid"] == comps["v"], "left").drop("v")
         state = state.withColumn("comp", F.col("rid") if comps is None else F.coalesce("comp", "rid"))
         if comps is not None:
             apart = state.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
             state = work.save(state.join(apart, "node", "left_semi"), f"apart-{turn}")
-            found = state.select("node", "rid", "size")
+            found = state.select("node", "rid", "leaf", "size")
         state = state.join(info, "rid")
-        if turn == rounds:
-            big = state.where(F.col("size") > BLOCK)
+        if turn < rounds:
+            pairs = candidates(state, least, threshold, turn, parts)
+        else:
+            big = state.where(F.col("size") > BRANCH_ON)
             below = shared_nodes(deeper(big)).join(info, "rid")
             below = below.join(comps, below["rid"] == comps["v"], "left").withColumn("comp", F.coalesce("comp", "rid"))
-            names = ["node", "rid", "comp", "n", "sketch"]
-            state = state.where(F.col("size") <= BLOCK).select(*names).unionByName(below.select(*names))
-            pairs = all_candidates(state, least, threshold, parts)
-        else:
-            pairs = candidates(state, least, threshold, turn, parts)
+            names = ["node", "rid", "leaf", "comp", "n", "sketch"]
+            state = state.where(F.col("size") <= BRANCH_ON).select(*names).unionByName(below.select(*names))
+            if wide is None:
+                some = work.save(involved(state, least, threshold, parts).join(keyed_ids, "rid"), "involved")
+                wide = work.save(from_texts(rows, some, "wide").withColumnRenamed("extra", "wide").dropDuplicates(["rid"]), "wide")
+                work.release()
+            pairs = wide_candidates(state, wide, least, threshold, trees, parts, best=turn < last)
+        pairs = work.save(pairs, f"pairs-{turn}")
+        work.release()
+        # only documents of candidate pairs get their full sets, once
+        ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+        if sets is not None:
+            ids = ids.join(sets.select("rid"), "rid", "left_anti")
+        ids = work.save(ids.join(keyed_ids, "rid"), f"ids-{turn}")
+        new = work.save(from_texts(rows, ids, "members").withColumnRenamed("extra", "members"), f"sets-{turn}")
+        sets = new if sets is None else sets.unionByName(new)
         new = work.save(confirmed(pairs, sets, percent), f"links-{turn}")
-        links = new if comps is None else comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).unionByName(new)
-        comps = components(links, work, f"components-{turn}")
+        work.release()
+        if comps is not None and new.isEmpty():
+            continue
+        comps = merged(comps, new, work, f"components-{turn}")
+    for name in ("members", "wide", "involved", *(f"{x}-{turn}" for turn in range(last + 1) for x in ("sets", "pairs", "ids", "links", "apart"))):
+        work.drop(name)
     named = reps.join(comps, reps["rid"] == comps["v"], "left").select("key", "first_id", F.coalesce("comp", "rid").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = work.save(named.join(lowest, "comp").select(F.col("key").alias("k"), "component_id"), "named")
@@ -319,7 +447,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            key = [r for part in signed([pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1)], ["doc_id", "text"])], False) for r in part.column(2).to_pylist()]
+            key = [r for part in signed([pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1)], ["doc_id", "text"])], "members") for r in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(key, pa.binary())], [*names, "_key"])
 
     return docs.withColumn("_text", text_column()).mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", BinaryType())]))
@@ -331,7 +459,10 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, **options)
     Rows are known by their ids, but for ids that several rows have: those are known by id and set.
     """
     work = options.pop("work", None) or Workspace(docs.sparkSession, "distinct")
-    found = work.save(judged(docs, threshold, **options).select("doc_id", "key", "kept"), "judged")
+    inner = Workspace(docs.sparkSession, "neardup")
+    found = work.save(judged(docs, threshold, work=inner, **options).select("doc_id", "key", "kept"), "judged")
+    inner.drop()
+    work.release()
     again = work.save(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id"), "again")
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
 
