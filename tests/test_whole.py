@@ -13,3 +13,10 @@ def test_primary_key_sees_every_order(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
     r = SPARK["bt_primary_key_whole"](spark, str(tmp_path)).first()
     assert (r["total_periods"], r["periods_fail"]) == (2, 1)
+
+
+def test_allowed_values_sees_every_user(spark, tmp_path):
+    rows = [(1, 1, "click", 1.0, datetime.datetime(2024, 1, 1)), (2, 900, "error", 1.0, datetime.datetime(2024, 1, 1)), (3, 900, "view", 1.0, datetime.datetime(2024, 1, 2))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    r = SPARK["bt_allowed_values_whole"](spark, str(tmp_path)).first()
+    assert (r["total_periods"], r["periods_fail"]) == (2, 1)
