@@ -142,6 +142,14 @@ def categorical_densified(spark, sf_dir):
     return rounded(H.densified(H.distribution(B.events(spark, sf_dir).where("user_id = 7"), "event_type")))
 
 
+@query(f"""WITH {B.EVENTS}, few AS (SELECT period, event_type AS v, count(*) AS n FROM ev GROUP BY 1, 2), p AS (SELECT DISTINCT period FROM few), c AS (SELECT DISTINCT v FROM few)
+SELECT p.period, c.v AS category_value, coalesce(f.n, 0) AS value_count, round(coalesce(f.n * 100.0 / sum(f.n) OVER (PARTITION BY p.period), 0.0), 6) AS value_pct
+FROM p CROSS JOIN c LEFT JOIN few f ON f.period = p.period AND f.v = c.v""")
+def categorical_densified_whole(spark, sf_dir):
+    """All events; categorical_densified takes the one user that its SQL names."""
+    return rounded(H.densified(H.distribution(B.events(spark, sf_dir), "event_type")))
+
+
 @query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS total_rows, count(DISTINCT o_orderkey) AS distinct_keys, count(*) - count(DISTINCT o_orderkey) AS duplicate_count, count(o_orderkey) AS non_null_o_orderkey FROM orders GROUP BY 1")
 def uniqueness_single(spark, sf_dir):
     return H.uniqueness(table(spark, sf_dir, "orders").withColumn("period", F.trunc(F.to_date("o_orderdate"), "MM")), ["o_orderkey"])
