@@ -247,20 +247,23 @@ def frequencies(dist: DataFrame, column: str, top: list[str], guard: Guard = Gua
 def categorical(df: DataFrame, column: str, semantic_type: str, null_ratio: float, guard: Guard = Guard(), grain: Grain = DAILY, mode: str = "static", max_values: int = 5, **bounds) -> DataFrame:
     """Allowed values, distinct counts, frequencies of the top values and completeness of one categorical column; df has a period.
 
-    The domain of a low or mid cardinality column, at most some hundred values, becomes part of the rules' text.
+    The whole domain of a low cardinality column becomes part of the rules' text; that of another is counted in Spark, and
+    only its top values are fetched.
     """
-    domain = [r["category_value"] for r in H.domain(df, column).where(F.col("category_value").isNotNull()).limit(1000).collect()]
+    values = H.domain(df, column).where(F.col("category_value").isNotNull())
     counts = H.distinct_counts(df, column, exact=True)
     s = S.series(counts, "distinct_count", F.lit(column))
     low, mid, parts = semantic_type == "CATEGORICAL_LOW", semantic_type == "CATEGORICAL_MID", []
+    domain = [r["category_value"] for r in (values if low else values.limit(max_values)).collect()] if low or mid else []
     if low:
         seen = BT.allowed_values(H.observed_values(df, column), domain, column).withColumn("valid_count", F.col("total_periods"))
         parts.append(_shape(seen, F.lit(ir.ALLOWED), F.lit(column), F.lit("allowed_values"), guard, F.lit(None), F.lit(None), F.array(*map(F.lit, domain))))
         exact = BT.distinct_exact(s, len(domain)).join(_counted(s), "series_id")
         parts.append(_shape(exact, F.lit(ir.DISTINCT), F.lit(column), F.lit("distinct_count"), guard, F.lit(len(domain)), F.lit(None)))
     elif mid:
-        slack = max(int(len(domain) * 0.10), 2)
-        lo, hi = max(1, len(domain) - slack), len(domain) + slack
+        size = values.count()
+        slack = max(int(size * 0.10), 2)
+        lo, hi = max(1, size - slack), size + slack
         parts.append(_shape(BT.distinct_range(s, lo, hi).join(_counted(s), "series_id"), F.lit(ir.DISTINCT_RANGE), F.lit(column), F.lit("distinct_count_range"), guard, F.lit(lo), F.lit(hi)))
     if (low or mid) and domain:
         parts.append(frequencies(H.distribution(df, column), column, domain[:max_values], guard, grain, mode, **bounds))
