@@ -84,10 +84,10 @@ def signed(batches, what: str):
                 if what == "members":
                     extra[full] = _objects(np.split(h.view(np.int64), first[1:]))
                 else:
-                    factors, shift, kind = (_MINWISE, 48, np.uint16) if what == "sketch" else (_WIDE, 56, np.uint8)
+                    factors, kind = (_MINWISE, np.uint16) if what == "sketch" else (_WIDE, np.uint8)
                     values = np.empty((len(first), len(factors)), kind)
                     for k, f in enumerate(factors):
-                        values[:, k] = np.minimum.reduceat(h * f, first) >> np.uint64(shift)
+                        values[:, k] = mix64(np.minimum.reduceat(h * f, first)).astype(kind)  # the top bits of a minimum are mostly 0
                     extra[full] = [v.tobytes() if what == "sketch" or size > SMALL else m.tobytes() for v, m, size in zip(values, np.split(h, first[1:]), n[full])]
             kind = pa.list_(pa.int64()) if what == "members" else pa.binary()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(extra, kind)], ["doc_id", "n", "key", "extra"])

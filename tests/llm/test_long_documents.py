@@ -1,8 +1,9 @@
 """What holds for short documents holds for long ones."""
 
 import numpy as np
+import pyarrow as pa
 
-from dqspark.llm import pii
+from dqspark.llm import neardup, pii
 
 
 def test_pii_labels_reach_every_repeat():
@@ -13,3 +14,21 @@ def test_pii_labels_reach_every_repeat():
     (base, every), (_, other) = pii.spans([text, lone], model)
     assert len(base) == 1 and len(every) == 101 and other == []
     assert pii.masked(text, every) == "call [PHONE] today" + "; or dial [PHONE] again" * 100
+
+
+def test_sketches_of_large_disjoint_sets_differ():
+    texts = [" ".join(f"{p}{i}" for i in range(20_000)) for p in "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for what, kind, most in (("sketch", np.uint16, 0.05), ("wide", np.uint8, 0.05)):
+        (out,) = neardup.signed([batch], what)
+        a, b = (np.frombuffer(x, kind) for x in out.column(3).to_pylist())
+        assert (a == b).mean() < most
+
+
+def test_wide_sketches_agree_as_sets_do():
+    words = [f"w{i}" for i in range(8000)]
+    texts = [" ".join(words[:6000]), " ".join(words[1000:7000])]  # 4,996 of 6,996 shingles are shared
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    (out,) = neardup.signed([batch], "wide")
+    a, b = (np.frombuffer(x, np.uint8) for x in out.column(3).to_pylist())
+    assert abs((a == b).mean() - (1 / 256 + 255 / 256 * 4996 / 6996)) < 0.08
