@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of text that one vectorised step handles at a time.
-STEP_BYTES = 1 << 20
+#: Bytes of text that one vectorised step handles at a time; what a step needs besides is some dozens of times that.
+STEP_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,17 +30,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share.
+
+    Where the session names none, it is a temporary folder if Spark runs in one process, and otherwise one in the warehouse, which
+    all executors see; never a machine-local folder on a cluster.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="dqspark-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
+        if spark.sparkContext._jsc.sc().isLocal():
+            found = "file://" + tempfile.mkdtemp(prefix="dqspark-")
+            atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_dqspark"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh(names: list[str], base: str) -> str:
+    """`base`, with underscores before it until no name is equal but for case."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow; when its task ends, freed memory goes back to the system, as the worker process lives on for later tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return wrapped
+
+
+def hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 class Workspace:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
@@ -139,21 +175,34 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def long_hash(data: np.ndarray) -> np.uint64:
+    """span_hashes of all of data, which may be of any length, in steps."""
+    total = 0
+    for at in range(0, len(data), STEP_BYTES):
+        total += int(prefix_hashes(data[at : at + STEP_BYTES])[-1]) * pow(_BASE, at, 1 << 64)
+    return mix64(np.array([(total + len(data)) & ((1 << 64) - 1)], np.uint64))[0]
+
+
 def hashed_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR, prefix_bytes: int = 0):
     """(hash of each word, number of words of each text[, hash of each word's first bytes]) in order, in steps of bounded memory.
 
-    A step ends at a separator or at the end of a text, so that no word is cut; a longer word is one step.
+    A step ends at a separator or at the end of a text, so that no word is cut; a longer word is hashed by pieces.
     """
     starts, ends = word_bounds(data, offsets, separator)
     hashes, heads, i = np.zeros(len(starts), np.uint64), np.zeros(len(starts) if prefix_bytes else 0, np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP_BYTES, "right")))
-        base = starts[i]
-        prefix = prefix_hashes(data[base : ends[j - 1]])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        hashes[i:j] = span_hashes(prefix, s, e)
-        if prefix_bytes:
-            heads[i:j] = span_hashes(prefix, s, np.minimum(e, s + prefix_bytes))
+        base, end = starts[i], ends[j - 1]
+        if end - base > STEP_BYTES:  # one long word
+            hashes[i] = long_hash(data[base:end])
+            if prefix_bytes:
+                heads[i] = long_hash(data[base : base + prefix_bytes])
+        else:
+            prefix = prefix_hashes(data[base:end])
+            s, e = starts[i:j] - base, ends[i:j] - base
+            hashes[i:j] = span_hashes(prefix, s, e)
+            if prefix_bytes:
+                heads[i:j] = span_hashes(prefix, s, np.minimum(e, s + prefix_bytes))
         i = j
     counts = np.diff(np.searchsorted(starts, offsets))
     return (hashes, counts, heads) if prefix_bytes else (hashes, counts)

@@ -18,7 +18,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
     """(texts, labels, langs, share of each class among all usable labels) of at most rows_per_class rows of either class, in hash order.
 
     `usable` is a condition on doc_id. Longer texts than max_bytes aren't trained on. The rows come from a join whose
-    small side holds 2 * rows_per_class rows, so it is broadcast whatever the tables' sizes.
+    small side holds 2 * rows_per_class rows, so it is broadcast whatever the tables' sizes. Of rows that repeat an id the
+    one with the least text is taken, before anything reaches the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable).groupBy("doc_id").agg(F.max(label).alias("y"))
     shares = dict(known.groupBy("y").count().collect())
@@ -28,8 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
         chosen = part if chosen is None else chosen.unionByName(part)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     body = docs.select("doc_id", text_column().alias("text"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang")).where(F.octet_length("text") <= max_bytes)
-    rows = body.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "y").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["lang"], r["y"]) for r in rows})
+    known = body.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "y")).alias("r"))
+    rows = sorted((r["doc_id"], *r["r"]) for r in known.collect())
     return [r[1] for r in rows], np.array([r[3] for r in rows], np.float64), [r[2] for r in rows], np.array([shares.get(0, 0), shares.get(1, 0)], np.float64)
 
 
