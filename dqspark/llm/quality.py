@@ -5,8 +5,10 @@ whole text. Each filter is max-pooled within a chunk; means and maxima over the
 small dense layer and one probability. Calibrated so that 0.3 is the best threshold on a
 part of the sample that isn't trained on. Inputs are the text's bytes only.
 
-Defined results: null and empty texts are scored as texts without chunks; rows that repeat are scored alike; a
-null id isn't held out; without labels of both classes every score is 1; an empty table gives no rows.
+Defined results: null and empty texts are scored as texts without chunks; a long text is convolved piece by piece, with
+running sums and maxima of its chunks, so memory doesn't grow with it; rows that repeat, and texts that are equal, are scored alike; a
+null id isn't held out; without labels of both classes every score is 1; an empty table gives no rows; of other columns
+those named score and predicted make way for the results, and all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,17 +19,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import buffers, slices, text_column
+from .common import buffers, fresh, slices, text_column, thrifty
 from .nets import Adam, calibrate, labelled_sample, packed, sigmoid
 
 DIM, STRIDE, BLOCKS, FILTERS, HIDDEN = 8, 4, 4, 24, 16
 #: Filter positions in a chunk and from one chunk's start to the next: 1,024 and 896 bytes.
 CHUNK, HOP = 256, 224
+#: Bytes that are convolved at a time, and chunks of a long text.
+STEP, PIECE = 1 << 17, 128
 #: Labelled rows of either class that are trained on at most, and the longest text among them.
 ROWS_PER_CLASS, MAX_BYTES, EPOCHS, BATCH = 1500, 16_000, 8, 32
 THRESHOLD = 0.3
 
 
+def chunks_of(n):
+    """Chunks of a text of n positions."""
+    return np.where(n > 0, np.maximum(1, -(-(n - (CHUNK - HOP)) // HOP)), 0)
+
+
+def filled(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How full each chunk is, 1 for a whole one."""
+    return np.log1p(end - begin).astype(np.float32) / np.float32(np.log1p(CHUNK))
+
+
+def pooled(y: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Maxima of each filter in each chunk."""
+    return np.maximum.reduceat(y, np.stack([begin, end], 1).ravel())[::2] if len(begin) else np.zeros((0, FILTERS), np.float32)
+
+
 class Layout:
     """Texts laid out in steps of the stride, each followed by zeros as long as a filter, and their chunks."""
 
@@ -39,29 +58,32 @@ class Layout:
         self.bytes = np.zeros(int(size.sum()) * STRIDE, np.uint8)
         for s, a, b in zip((self.start * STRIDE).tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
             self.bytes[s : s + b - a] = data[a:b]
-        self.chunks = np.where(self.n > 0, np.maximum(1, -(-(self.n - (CHUNK - HOP)) // HOP)), 0)
+        self.chunks = chunks_of(self.n)
         self.doc = np.repeat(np.arange(len(lengths)), self.chunks)
         k = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.chunks) - self.chunks, self.chunks)
         self.begin = self.start[self.doc] + k * HOP
         self.end = np.minimum(self.begin + CHUNK, (self.start + self.n)[self.doc])
-        self.fill = np.log1p(self.end - self.begin).astype(np.float32) / np.float32(np.log1p(CHUNK))
+        self.fill = filled(self.begin, self.end)
 
 
 class Net:
     def __init__(self, params: dict[str, np.ndarray], slope: float = 1.0, shift: float = 0.0):
         self.p, self.slope, self.shift = params, slope, shift
 
-    def convolved(self, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
+    def convolved(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of the filters at all positions; the embedded bytes by blocks of the stride."""
-        x = self.p["embed"][lay.bytes].reshape(-1, STRIDE * DIM)
+        x = self.p["embed"][symbols].reshape(-1, STRIDE * DIM)
         y = x @ self.p["conv"][0]
         for o in range(1, BLOCKS):
             y[:-o] += x[o:] @ self.p["conv"][o]
         return y, x
 
+    def activations(self, top: np.ndarray, fill: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.maximum(top + self.p["bias"], 0), fill[:, None]], 1)
+
     def document(self, lay: Layout, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs of the dense layer, which are mean and maximum over the chunks, and the chunks' activations."""
-        a = np.concatenate([np.maximum(top + self.p["bias"], 0), lay.fill[:, None]], 1)
+        a = self.activations(top, lay.fill)
         n, d = len(lay.n), FILTERS + 1
         out = np.zeros((n, 2 * d), np.float32)
         full = lay.chunks > 0
@@ -71,14 +93,31 @@ class Net:
             out[full, d:] = np.maximum.reduceat(a, first)
         return out, a
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def long(self, data: np.ndarray, piece: int = PIECE) -> np.ndarray:
+        """document() of one text of any length, some chunks at a time."""
+        n = -(-len(data) // STRIDE)
+        chunks, d = chunks_of(n), FILTERS + 1
+        total, most = np.zeros(d), np.full(d, -np.inf, np.float32)
+        for k in range(0, int(chunks), piece):
+            begin = np.arange(min(piece, chunks - k)) * HOP
+            end = np.minimum(begin + CHUNK, n - k * HOP)
+            symbols = np.zeros((int(end[-1]) + BLOCKS) * STRIDE, np.uint8)
+            part = data[k * HOP * STRIDE :][: len(symbols)]
+            symbols[: len(part)] = part
+            a = self.activations(pooled(self.convolved(symbols)[0], begin, end), filled(begin, end))
+            total += a.sum(0)
+            most = np.maximum(most, a.max(0))
+        return np.concatenate([total / chunks, most])[None].astype(np.float32)
+
+    def logits(self, data: np.ndarray, offsets: np.ndarray, step: int = STEP) -> np.ndarray:
         out = np.zeros(len(offsets) - 1)
-        for i, j in slices(offsets, 1 << 19):
+        for i, j in slices(offsets, step):
+            if offsets[j] - offsets[i] > step:  # one long text
+                out[i] = self.head(self.long(data[offsets[i] : offsets[j]]))[0][0]
+                continue
             lay = Layout(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            y, _ = self.convolved(lay)
-            top = np.maximum.reduceat(y, np.stack([lay.begin, lay.end], 1).ravel())[::2] if len(lay.doc) else np.zeros((0, FILTERS), np.float32)
-            v, _ = self.document(lay, top)
-            out[i:j] = self.head(v)[0]
+            top = pooled(self.convolved(lay.bytes)[0], lay.begin, lay.end)
+            out[i:j] = self.head(self.document(lay, top)[0])[0]
         return out
 
     def head(self, v):
@@ -111,7 +150,7 @@ def train(texts: list[str], y: np.ndarray, langs: list[str], shares: np.ndarray,
             lay = Layout(part, np.concatenate([[0], np.cumsum(offsets[at + 1] - offsets[at])]))
             if not len(lay.doc):
                 continue
-            yv, x = net.convolved(lay)
+            yv, x = net.convolved(lay.bytes)
             arg = np.stack([b + yv[b:e].argmax(0) for b, e in zip(lay.begin, lay.end)])
             top = yv[arg, np.arange(FILTERS)]
             v, a = net.document(lay, top)
@@ -149,14 +188,26 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, rows_per_class: int = R
 def score(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs' columns other than score and predicted, then score and predicted, for every row; docs has a text."""
     docs = docs.drop("score", "predicted")
-    names, at = docs.columns, docs.columns.index("text")
+    return scored(docs, net, "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def scored(docs: DataFrame, net: Net | None, name: str) -> DataFrame:
+    """All of docs' columns and the score as `name`, which is none of theirs."""
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(at + 1))
-            s = net.scores(data, offsets) if net else np.ones(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at + 1] + [pa.array(s)], [*names, "score"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                data, offsets = buffers(part.column(len(names)))
+                s = net.scores(data, offsets) if net else np.ones(part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(s)], [*names, name])
+
+    rows = docs.select(*[F.col(f"`{n}`") for n in names], text_column().alias(fresh(names, "_filled")))
+    return rows.mapInArrow(thrifty(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
 
-    columns = [*names[: at + 1], text_column().alias("_text"), *names[at + 1 :]]
-    scored = docs.select(*columns).mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def keep(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs' rows of quality, with all their columns, also those named score or predicted."""
+    name = fresh(docs.columns, "_quality")
+    return scored(docs, net, name).where(F.col(name) >= threshold).drop(name)
