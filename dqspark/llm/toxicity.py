@@ -7,8 +7,10 @@ among the labelled documents. The score is calibrated so that 0.7 is the best th
 that isn't trained on; thresholds by language are found there too and given beside the score, whose inputs are
 the text's words only.
 
-Defined results: null and empty texts are scored as texts without words; rows that repeat are scored alike; a
-null id isn't held out; without labels of both classes every score is 0; an empty table gives no rows.
+Defined results: null and empty texts are scored as texts without words; a long text is convolved piece by piece, each with the
+last words of the one before, so memory doesn't grow with it; rows that repeat, and texts that are equal, are scored alike; a
+null id isn't held out; without labels of both classes every score is 0; an empty table gives no rows; other columns than
+doc_id, text and lang are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, hashed_words, slices, text_column
+from .common import LOWER, STEP_BYTES, buffers, hashed_words, slices, text_column, thrifty
 from .nets import Adam, best_threshold, calibrate, labelled_sample, packed, sigmoid
 
 BUCKETS, DIM, WIDTHS, FILTERS, PREFIX_BYTES = 1 << 15, 10, (1, 2, 3), 8, 5
@@ -37,6 +39,18 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (words & mask).astype(np.int32), (heads & mask).astype(np.int32), counts
 
 
+def pieces(data: np.ndarray, step: int):
+    """(start, end) of pieces of about `step` bytes; a piece ends after a separator or at the end, so no word is cut."""
+    at = 0
+    while at < len(data):
+        end = min(at + step, len(data))
+        while end < len(data) and not SEPARATOR[data[end - 1]]:
+            found = np.flatnonzero(SEPARATOR[data[end : end + step]])
+            end = end + int(found[0]) + 1 if len(found) else min(end + step, len(data))
+        yield at, end
+        at = end
+
+
 class Net:
     def __init__(self, params: dict[str, np.ndarray], slope: float = 1.0, shift: float = 0.0, thresholds: dict[str, float] | None = None):
         self.p, self.slope, self.shift, self.thresholds = params, slope, shift, thresholds or {}
@@ -70,12 +84,31 @@ class Net:
 
     track = False
 
-    def logits(self, data, offsets) -> np.ndarray:
+    def long(self, data: np.ndarray, step: int) -> np.ndarray:
+        """pooled() of one text of any length: by pieces that end at separators, each after the last words of the one before."""
+        out = np.full(FILTERS * len(WIDTHS), -np.inf, np.float32)
+        held = np.zeros((0, DIM), np.float32)
+        for at, end in pieces(data, step):
+            a, b, counts = tokens(data[at:end], np.array([0, end - at]))
+            x = np.concatenate([held, self.p["word"][a] + self.p["head"][b], np.zeros((_AHEAD if end == len(data) else 0, DIM), np.float32)])
+            for k, width in enumerate(WIDTHS):
+                n = len(x) - (_AHEAD if end == len(data) else width - 1)
+                if n > 0:
+                    w, cols = self.p[f"conv{width}"], slice(k * FILTERS, (k + 1) * FILTERS)
+                    y = sum(x[o : o + n] @ w[o] for o in range(width))
+                    out[cols] = np.maximum(out[cols], y.max(0) + self.p[f"bias{width}"])
+            held = x[len(x) - min(_AHEAD, len(x)) :]
+        return np.where(np.isfinite(out), out, 0)[None]
+
+    def logits(self, data, offsets, step: int = STEP_BYTES) -> np.ndarray:
         out = np.zeros(len(offsets) - 1)
-        for i, j in slices(offsets):
-            a, b, counts = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            h = np.maximum(self.pooled(a, b, counts)[0], 0)
-            out[i:j] = h @ self.p["out"] + self.p["out_bias"]
+        for i, j in slices(offsets, step):
+            part = data[offsets[i] : offsets[j]]
+            if len(part) > step:  # one long text
+                top = self.long(part, step)
+            else:
+                top = self.pooled(*tokens(part, offsets[i : j + 1] - offsets[i]))[0]
+            out[i:j] = np.maximum(top, 0) @ self.p["out"] + self.p["out_bias"]
         return out
 
     def scores(self, data, offsets) -> np.ndarray:
@@ -165,12 +198,14 @@ def score(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD) -> Dat
 
     def run(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            s = net.scores(data, offsets) if net else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s)], ["doc_id", "lang", "score"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                data, offsets = buffers(part.column(1))
+                s = net.scores(data, offsets) if net else np.zeros(part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s)], ["doc_id", "lang", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"), F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
-    scored = rows.mapInArrow(run, "doc_id long, lang string, score double")
+    scored = rows.mapInArrow(thrifty(run), "doc_id long, lang string, score double")
     own = F.lit(None).cast("double")
     for lang, cut in (net.thresholds if net else {}).items():
         own = F.when(F.col("lang") == lang, F.lit(cut)).otherwise(own)
