@@ -6,7 +6,11 @@ Spark's text writer, whose line separator is the blank line that ends each recor
 will do. Reading goes by Content-Length, so payloads may hold anything.
 
 Defined results: a null html is an empty payload; a null page id is written without one and is smaller than any
-other; rows that repeat are captures of their own, with the same type; an empty table gives an archive without records.
+other; rows that repeat are captures of their own, with the same type; of pages with equal payloads and equal ids each is a
+response; other columns, whatever their names, are not written; an empty table gives an archive without records. Files hold
+so many captures that together they stay far below 2 GiB, by the longest payload there is; a single payload may have up to 1 GiB.
+In archives that others wrote, a record without a type is skipped; one whose length is missing, no number or beyond the
+end of the file is skipped up to the next record's first line; a request or metadata record whose response isn't there makes no capture.
 """
 
 from __future__ import annotations
@@ -18,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, thrifty
 
-#: Captures that one archive file holds at most; a reader holds one file at a time.
-FILE_CAPTURES = 1024
+#: Captures that one archive file holds at most, and about how many bytes; a reader holds one file at a time.
+FILE_CAPTURES, FILE_BYTES = 1024, 1 << 28
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
@@ -40,7 +44,7 @@ def urn(kind: str, uid):
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def write(pages: DataFrame, path: str, work: Workspace, min_bytes: int = 0, date: str = DATE, file_captures: int = FILE_CAPTURES) -> None:
+def write(pages: DataFrame, path: str, work: Workspace, min_bytes: int = 0, date: str = DATE, file_captures: int = FILE_CAPTURES, file_bytes: int = FILE_BYTES) -> None:
     """Archive pages(page_id, url, html) under path.
 
     Of equal payloads of at least min_bytes bytes the one with the largest page id is a response. Payloads are known by
@@ -71,17 +75,27 @@ def write(pages: DataFrame, path: str, work: Workspace, min_bytes: int = 0, date
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = record(F.lit("metadata"), urn("metadata", key), [("Content-Type", F.lit("application/warc-fields")), ("WARC-Concurrent-To", main)], fields)
     lines = rows.select(F.concat_ws(CRLF + CRLF, request, F.when(revisit, revisited).otherwise(response), metadata).alias("value"))
-    lines.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", file_captures).mode("overwrite").text(path)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    held = max(1, min(file_captures, file_bytes // (longest + 4096)))
+    lines.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", held).mode("overwrite").text(path)
 
 
 def parse(content: bytes | memoryview):
-    """(headers by lower-case name, block) of each record of an archive."""
+    """(headers by lower-case name, block) of each record of an archive; see the module for records that are malformed."""
     content, at = bytes(content), 0
     while (end := content.find(b"\r\n\r\n", at)) >= 0:
         lines = content[at:end].decode("utf-8", "replace").split(CRLF)
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(headers.get("content-length", 0))
-        yield headers, content[end + 4 : end + 4 + size]
+        size = headers.get("content-length", "")
+        size = int(size) if size.isascii() and size.isdigit() else -1
+        if size < 0 or end + 4 + size > len(content):
+            found = content.find(b"\r\nWARC/1.", at + 1)
+            if found < 0:
+                return
+            at = found + 2
+            continue
+        if headers.get("warc-type"):
+            yield headers, content[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
 
@@ -98,7 +112,7 @@ def read(spark, path: str, with_payload: bool = False) -> DataFrame:
                     kind = headers["warc-type"]
                     body = block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit") else block
                     digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if kind == "response" else None
-                    row = (kind, headers.get("warc-record-id"), headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, digest, len(body), block.decode() if kind == "metadata" else None)
+                    row = (kind, headers.get("warc-record-id"), headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, digest, len(body), block.decode("utf-8", "replace") if kind == "metadata" else None)
                     rows.append((*row, body) if with_payload else row)
                     if len(rows) >= 2000:
                         yield batch_of(names, rows)
@@ -111,7 +125,7 @@ def read(spark, path: str, with_payload: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(records, schema)
+    return files.mapInArrow(thrifty(records), schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:
