@@ -2,9 +2,10 @@
 
 Sizes are words. Every stage is a DataFrame aggregation; the driver sees scalars only.
 
-Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its
-own, last in order; null ids and repeated rows are rows like any other; an empty table gives no rows;
-other columns of the input are ignored by :func:`mix` and carried along by :func:`repeated`.
+Defined results: a null or empty text has size 0 and is taken 0 times; a long text counts whole; a null source is a source of its
+own, last in order; null ids and repeated rows are rows like any other, and rows that are alike take equal parts; ties in the
+seeded order are between such rows only; an empty table gives no rows; other columns of the input, whatever their names, are
+ignored by :func:`mix` and carried along by :func:`repeated`.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD_REGEX, Workspace, text_column
 
-#: Rows that share one bucket of a source's seeded order, on average.
-BUCKET_ROWS = 4096
+#: Rows of all sources that share one bucket of the seeded order, on average.
+BUCKET_ROWS = 1024
+#: Rows of edge buckets, of some 40 bytes each, that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def n_words(text):
@@ -63,7 +66,8 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_epochs: float = 3.0, seed:
     A source's documents are all taken floor(target / size) times whole; in a seeded order they are
     then taken once more until the target is reached, the last of them by a fraction. The order is by hash
     buckets: sums of buckets are cumulated, and only the bucket at which a source's target falls is ordered
-    row by row, so that no source meets in one task. `weights` repeat over the sources in code point order.
+    row by row, so that no source meets in one task; what each row is joined with is one row per source.
+    `weights` repeat over the sources in code point order.
     """
     return _mixed(docs, (), weights, max_epochs, seed, work)
 
@@ -72,33 +76,49 @@ def _mixed(docs: DataFrame, carried: tuple[str, ...], weights=(1.0, 2.0, 3.0), m
     """:func:`mix`, with the i-th carried column as _c<i>, so that no name of the input meets one of these."""
     work = work or Workspace(docs.sparkSession, "mix")
     keep = tuple(f"_c{i}" for i in range(len(carried)))
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    counted = docs.select("doc_id", "source", *[F.col(c).alias(k) for c, k in zip(carried, keep)], n_words(text_column()).alias("size"), h.alias("h"))
+    text = text_column()
+    counted = docs.select("doc_id", "source", *[F.col(c).alias(k) for c, k in zip(carried, keep)], n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("h"))
     sizes = work.save(counted.drop(*keep), "sizes")
     n = sizes.count()
     buckets = 1 << max(4, min(16, (n // BUCKET_ROWS).bit_length()))
-    sizes = sizes.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+    bucket = F.pmod(F.col("h"), F.lit(buckets))
+    sizes = sizes.withColumn("bucket", bucket)
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     sources = water_fill(ranked_sources(sizes, work).withColumn("weight", cycle[F.pmod(F.col("rank"), F.lit(len(weights))).cast("int")]), max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sources = sources.withColumn("whole", F.least(F.floor(ratio), F.lit(int(max_epochs)))).withColumn("extra", F.greatest(F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"), F.lit(0)))
     sources = work.save(sources.select("source", "source_size", "target", "whole", "extra"), "targets")
+    # the bucket at which a source's extra words end, and the words of the buckets before it
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")).withColumn("before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
     s, f = sources.alias("s"), filled.alias("f")
-    plan = f.join(s, F.col("f.source").eqNullSafe(F.col("s.source"))).select("f.source", "bucket", "before", "bucket_size", "source_size", "target", "whole", "extra")
+    at_edge = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("bucket_size") > F.col("extra"))
+    edges = f.join(s, F.col("f.source").eqNullSafe(F.col("s.source"))).where(at_edge).select(F.col("f.source").alias("source"), F.col("bucket").alias("edge"), F.col("extra") - F.col("before"))
+    edges = edges.toDF("source", "edge", "room")
+    e = edges.alias("e")
+    # every bucket is before the edge of a source that takes all its words once more, and after that of one that takes none
+    none = F.when(F.col("extra") > 0, F.lit(buckets)).otherwise(F.lit(-1))
+    plan = s.join(e, F.col("s.source").eqNullSafe(F.col("e.source")), "left").select("s.source", "source_size", "target", "whole", F.coalesce("edge", none).alias("edge"), "room")
     plan = work.save(plan, "plan")
+    # rows of one bucket of each source are ordered one by one; those that are alike in all that counts are one row of it
+    p = plan.alias("p")
+    near = sizes.alias("d").join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.edge"))).groupBy("d.source", "h", "size").agg(F.count("*").alias("alike"), F.first("room").alias("room"))
+    rows = Window.partitionBy("source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    all_of = F.col("size") * F.col("alike")
+    room = F.least(F.greatest(F.col("room") - F.coalesce(F.sum(all_of).over(rows), F.lit(0)), F.lit(0)), all_of)
+    near = work.save(near.withColumn("own", F.floor(room / F.col("alike"))).select(F.col("source").alias("n_source"), F.col("h").alias("n_h"), F.col("size").alias("n_size"), "own"), "near")
     # columns that are kept come from docs, whose sizes are counted again rather than written with the text
-    rows = counted.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets))) if keep else sizes
-    d, p = rows.alias("d"), plan.alias("p")
-    joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket"))).select("d.*", "before", "bucket_size", "source_size", "target", "whole", "extra")
-    at_edge = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("bucket_size") > F.col("extra"))
-    outside = joined.where(~at_edge).withColumn("more", F.when(F.col("before") + F.col("bucket_size") <= F.col("extra"), F.col("size")).otherwise(F.lit(0)))
-    rows = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.where(at_edge).withColumn("more", F.col("extra") - F.col("before") - F.coalesce(F.sum("size").over(rows), F.lit(0)))
-    edge = edge.withColumn("more", F.least(F.greatest(F.col("more"), F.lit(0)), F.col("size")))
-    taken = F.col("whole") * F.col("size") + F.col("more")
-    return outside.unionByName(edge).select("doc_id", "source", *keep, F.col("size").cast("long"), "source_size", "target", taken.cast("long").alias("taken"))
+    d = (counted.withColumn("bucket", bucket) if keep else sizes).alias("d")
+    joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "source_size", "target", "whole", "edge")
+    own = F.col("source").eqNullSafe(F.col("n_source")) & (F.col("h") == F.col("n_h")) & (F.col("size") == F.col("n_size"))
+    more = F.when(F.col("bucket") < F.col("edge"), F.col("size")).when(F.col("bucket") == F.col("edge"), F.coalesce("own", F.lit(0))).otherwise(F.lit(0))
+    if near.count() <= BROADCAST_ROWS:
+        both = joined.join(F.broadcast(near), own, "left")
+    else:  # only rows of edge buckets are shuffled
+        inside = joined.where(F.col("bucket") == F.col("edge")).join(near, own, "left")
+        both = joined.where(F.col("bucket") != F.col("edge")).withColumn("own", F.lit(None).cast("long")).unionByName(inside.drop("n_source", "n_h", "n_size"))
+    taken = F.col("whole") * F.col("size") + more
+    return both.select("doc_id", "source", *keep, F.col("size").cast("long"), "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
