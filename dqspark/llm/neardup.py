@@ -3,18 +3,20 @@
 A document is the set of its distinct shingles of five lower-cased words. Sets that are equal are one vertex.
 Each vertex has a sketch of 128 minwise values. In each of several independent trees a vertex starts at the
 root, and at every node takes the two sketch positions that the node's path chooses; the values there lead to two
-children. Vertices that meet at a node of depth 3 are candidates; a pair at the threshold meets in a tree with the
-probability of a branching process that survives, and there are as many trees as the target recall asks for.
+children. Nodes of depth 3 branch on, two levels at a time, until they are small or do not get smaller; vertices that meet in one then are
+candidates. A pair at the threshold meets in a tree, however deep it is, with the probability that a branching process never dies
+out, and there are as many trees as the target recall asks for.
 Nodes are compared exhaustively, in blocks, but for pairs that links already connect: in the first rounds each member
 takes its most similar sketch among a node's most central members and a few others. Vertices that are then similar to one of another
 component get a second, wide sketch, or carry their set if that is small, which settles pairs below the threshold. Each takes its best by this
 sketch, and what these links too leave apart is compared in full; a pair that meets in several nodes is taken in the first
-of them. Very large nodes first branch two levels further. A candidate is a link only if the full sets confirm it.
+of them. A candidate is a link only if the full sets confirm it.
 
 Defined results: a document of fewer than five words is one shingle, its whole sequence; a document without words, or
-with a null text, has no shingles and is linked with nothing; rows that repeat are in one component; a null id is linked
-with nothing and has a null component; an empty table gives no rows; other columns are ignored by :func:`dedup` and
-kept by :func:`distinct_documents`.
+with a null text, has no shingles and is linked with nothing; a long text counts whole; rows that repeat are in one component;
+of a component's documents the smallest id names it, so there are no ties; a null id is linked
+with nothing and has a null component; an empty table gives no rows; other columns, whatever their names, are ignored by
+:func:`dedup` and kept by :func:`distinct_documents`.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import LOWER, Workspace, buffers, hashed_words, mix64, slices, text_column
+from .common import LOWER, Workspace, buffers, fresh, hashed_words, mix64, slices, text_column, thrifty
 from .components import components
 
 WORDS, SKETCH, DEPTH, BRANCH = 5, 128, 3, 2
 THRESHOLD, RECALL = 0.8, 0.999999
-#: Members of a node that are compared in one task, of these the sample that first rounds look at, and the size at which nodes branch on.
-BLOCK, SAMPLE, BRANCH_ON = 2048, 64, 1 << 15
-#: Ids that are broadcast at most, 16 MB; beyond that the texts are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Members of a node that are compared in one task, of these the sample that first rounds look at, the size at which nodes branch on, and how often they do.
+BLOCK, SAMPLE, BRANCH_ON, BRANCHINGS = 2048, 64, 1 << 15, 4
+#: Rows of ids and 16-byte keys that are broadcast at most, some 30 MB; beyond that the texts are shuffled.
+BROADCAST_IDS = 500_000
 _STEP = 0x9E3779B97F4A7C15
 #: Odd factors: of the words of a shingle, and of the minwise functions.
 _PLACE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(_STEP)) | np.uint64(1)
@@ -101,9 +103,15 @@ def _objects(parts: list) -> np.ndarray:
 
 
 def trees_for(threshold: float, recall: float) -> int:
-    """Trees after which a pair at the threshold has met with the target probability."""
+    """Trees after which a pair at the threshold has met with the target probability.
+
+    A node's two children are shared with the threshold's probability each, so a pair still shares a node at any depth with at least the
+    probability s = 1 - (1 - threshold * s)^2 that such a process never ends; deeper trees lose nothing beyond that.
+    """
+    if threshold * BRANCH <= 1:
+        raise ValueError("so low a threshold leaves pairs apart in deep trees")
     s = 1.0
-    for _ in range(DEPTH):
+    for _ in range(200):
         s = 1 - (1 - threshold * s) ** BRANCH
     return math.ceil(math.log(1 - recall) / math.log(1 - s))
 
@@ -143,7 +151,7 @@ def paths(reps: DataFrame, trees: int) -> DataFrame:
                 rid, leaf = np.repeat(part.column(0).to_numpy(), nodes.shape[1]), np.tile(np.arange(nodes.shape[1], dtype=np.int32), len(nodes))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rid), pa.array(leaf)], ["node", "rid", "leaf"])
 
-    return reps.select("rid", "sketch").mapInArrow(run, "node long, rid long, leaf int")
+    return reps.select("rid", "sketch").mapInArrow(thrifty(run), "node long, rid long, leaf int")
 
 
 def deeper(members: DataFrame, levels: int = 2) -> DataFrame:
@@ -155,7 +163,7 @@ def deeper(members: DataFrame, levels: int = 2) -> DataFrame:
             rid = np.repeat(batch.column(1).to_numpy(), nodes.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rid), pa.array(np.full(len(rid), -1, np.int32))], ["node", "rid", "leaf"])
 
-    return members.select("node", "rid", "sketch").mapInArrow(run, "node long, rid long, leaf int")
+    return members.select("node", "rid", "sketch").mapInArrow(thrifty(run), "node long, rid long, leaf int")
 
 
 def shared_nodes(rows: DataFrame) -> DataFrame:
@@ -164,6 +172,17 @@ def shared_nodes(rows: DataFrame) -> DataFrame:
     return rows.join(nodes.groupBy("size", "who").agg(F.min("node").alias("node")).select("node", "size"), "node")
 
 
+def branched(rows: DataFrame, info: DataFrame, work: Workspace, large: int) -> DataFrame:
+    """(node, rid, leaf, size): nodes over `large` members give way to what they branch into; what stays large after BRANCHINGS is alike in most of its sketches."""
+    out, big = rows.where(F.col("size") <= large), rows.where(F.col("size") > large)
+    for turn in range(BRANCHINGS):
+        if big.isEmpty():
+            return out
+        below = work.save(shared_nodes(deeper(big.join(info.select("rid", "sketch"), "rid"))).select(*rows.columns), f"branched-{turn}")
+        out, big = out.unionByName(below.where(F.col("size") <= large)), below.where(F.col("size") > large)
+    return out.unionByName(big)
+
+
 def _grouped(batches, n_keys: int):
     """Tables of whole groups from batches that are sorted by their first columns."""
     held = None
@@ -242,7 +261,7 @@ def candidates(members: DataFrame, least: int, threshold: float, turn: int, part
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(thrifty(run), "a long, b long").distinct()
 
 
 def _similar(rows: DataFrame, partitions: int) -> DataFrame:
@@ -284,7 +303,7 @@ def involved(rows: DataFrame, least: int, threshold: float, partitions: int) ->
             found = [rid[np.unique(np.concatenate(ij))] for ij in _pairs(t, least, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*found, np.zeros(0, np.int64)])))], ["rid"])
 
-    return _similar(rows.select("node", "rid", "comp", "n", "sketch"), partitions).mapInArrow(run, "rid long").distinct()
+    return _similar(rows.select("node", "rid", "comp", "n", "sketch"), partitions).mapInArrow(thrifty(run), "rid long").distinct()
 
 
 def wide_candidates(rows: DataFrame, wide: DataFrame, least: int, threshold: float, trees: int, partitions: int, best: bool) -> DataFrame:
@@ -335,7 +354,7 @@ def wide_candidates(rows: DataFrame, wide: DataFrame, least: int, threshold: flo
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     names = ["node", "rid", "comp", "n", "sketch", "leaf", "mask", "wide"]
-    return _similar(rows.select(*names), partitions).mapInArrow(run, "a long, b long").distinct()
+    return _similar(rows.select(*names), partitions).mapInArrow(thrifty(run), "a long, b long").distinct()
 
 
 def from_texts(rows: DataFrame, ids: DataFrame, what: str) -> DataFrame:
@@ -346,7 +365,7 @@ def from_texts(rows: DataFrame, ids: DataFrame, what: str) -> DataFrame:
     """
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     some = rows.join(ids.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
-    found = some.mapInArrow(lambda b: signed(b, what), "doc_id long, n long, key binary, extra " + ("array<long>" if what == "members" else "binary"))
+    found = some.mapInArrow(thrifty(lambda b: signed(b, what)), "doc_id long, n long, key binary, extra " + ("array<long>" if what == "members" else "binary"))
     return found.join(ids.select("rid", "key"), "key").select("rid", "extra")
 
 
@@ -370,24 +389,25 @@ def merged(comps: DataFrame | None, links: DataFrame, work: Workspace, name: str
     return work.save(moved.unionByName(new), f"{name}-all")
 
 
-def judged(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rounds: int = 1, work: Workspace | None = None) -> DataFrame:
+def judged(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rounds: int = 1, work: Workspace | None = None, branch_on: int = BRANCH_ON) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and the set's key for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "neardup")
     percent = round(100 * threshold, 6)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     rows = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
-    signs = work.save(rows.mapInArrow(lambda b: signed(b, "sketch"), "doc_id long, n long, key binary, extra binary"), "signs")
+    signs = work.save(rows.mapInArrow(thrifty(lambda b: signed(b, "sketch")), "doc_id long, n long, key binary, extra binary"), "signs")
     some = signs.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     reps = some.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("extra").alias("sketch"))
     reps = work.save(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
     trees = trees_for(threshold, recall)
     if trees * BRANCH**DEPTH > 62:
         raise ValueError("so low a threshold takes more trees than there are bits for paths")
-    members = work.save(shared_nodes(paths(reps, trees)), "members")
+    info, keyed_ids = reps.select("rid", "n", "sketch"), reps.select("rid", "key", "first_id")
+    members = work.save(shared_nodes(paths(reps, trees)).select("node", "rid", "leaf", "size"), "members")
+    members = branched(members, info, work, branch_on)
     work.release()
     least = math.floor(SKETCH * threshold - 5 * math.sqrt(SKETCH * threshold * (1 - threshold)))
-    info, keyed_ids = reps.select("rid", "n", "sketch"), reps.select("rid", "key", "first_id")
     found = members.select("node", "rid", "leaf", "size")
     comps = sets = None
     wide, last = None, rounds + 1
@@ -402,11 +422,6 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
         if turn < rounds:
             pairs = candidates(state, least, threshold, turn, parts)
         else:
-            big = state.where(F.col("size") > BRANCH_ON)
-            below = shared_nodes(deeper(big)).join(info, "rid")
-            below = below.join(comps, below["rid"] == comps["v"], "left").withColumn("comp", F.coalesce("comp", "rid"))
-            names = ["node", "rid", "leaf", "comp", "n", "sketch"]
-            state = state.where(F.col("size") <= BRANCH_ON).select(*names).unionByName(below.select(*names))
             if wide is None:
                 some = work.save(involved(state, least, threshold, parts).join(keyed_ids, "rid"), "involved")
                 wide = work.save(from_texts(rows, some, "wide").withColumnRenamed("extra", "wide").dropDuplicates(["rid"]), "wide")
@@ -426,7 +441,8 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
         if comps is not None and new.isEmpty():
             continue
         comps = merged(comps, new, work, f"components-{turn}")
-    for name in ("members", "wide", "involved", *(f"{x}-{turn}" for turn in range(last + 1) for x in ("sets", "pairs", "ids", "links", "apart"))):
+    stale = [f"{x}-{turn}" for turn in range(last + 1) for x in ("sets", "pairs", "ids", "links", "apart")]
+    for name in ("members", "wide", "involved", *(f"branched-{turn}" for turn in range(BRANCHINGS)), *stale):
         work.drop(name)
     named = reps.join(comps, reps["rid"] == comps["v"], "left").select("key", "first_id", F.coalesce("comp", "rid").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
@@ -441,16 +457,19 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame
     return judged(docs, threshold, **options).drop("key")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with the key of each text's set as _key."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the key of each text's set as a further column, and that column's name."""
     names = docs.columns
+    key = fresh(names, "_key")
 
     def run(batches):
         for batch in batches:
-            key = [r for part in signed([pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1)], ["doc_id", "text"])], "members") for r in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(key, pa.binary())], [*names, "_key"])
+            empty = pa.nulls(batch.num_rows, pa.int64())
+            found = [r for part in signed([pa.RecordBatch.from_arrays([empty, batch.column(len(names))], ["doc_id", "text"])], "members") for r in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.binary())], [*names, key])
 
-    return docs.withColumn("_text", text_column()).mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", BinaryType())]))
+    rows = docs.select(*[F.col(f"`{n}`") for n in names], text_column().alias(fresh(names, "_filled")))
+    return rows.mapInArrow(thrifty(run), StructType([*docs.schema.fields, StructField(key, BinaryType())])), key
 
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -463,7 +482,7 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, **options)
     found = work.save(judged(docs, threshold, work=inner, **options).select("doc_id", "key", "kept"), "judged")
     inner.drop()
     work.release()
-    again = work.save(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id"), "again")
+    again = work.save(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
 
     def known(ids: DataFrame) -> DataFrame:
@@ -472,8 +491,8 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, **options)
     out = docs.join(known(gone.unionByName(again).distinct()), "doc_id", "left_anti")
     if again.isEmpty():
         return out.select(*docs.columns)
-    stay = found.where("kept").select("doc_id", F.col("key").alias("_key")).distinct()
-    rows = keyed(docs.join(known(again), "doc_id", "left_semi").select(*docs.columns))
-    none = rows.where(F.col("_key").isNull())
-    one = rows.where(F.col("_key").isNotNull()).join(stay, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    rows, key = keyed(docs.join(known(again), "doc_id", "left_semi").select(*docs.columns))
+    stay = found.where("kept").select("doc_id", F.col("key").alias(key)).distinct()
+    none = rows.where(F.col(key).isNull())
+    one = rows.where(F.col(key).isNotNull()).join(stay, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
     return out.select(*docs.columns).unionByName(one.unionByName(none).select(*docs.columns))
