@@ -8,8 +8,9 @@ the base matches as labels and their surface partly hidden, so that the skip lin
 mention that is written otherwise. Inference is loopy sum-product over all nodes of a batch at once, until the messages
 of each text stand still; base matches are fixed. A mention whose probability of a kind is at least `confidence` becomes a span of that kind.
 
-Defined results: null and empty texts have no spans; null ids and repeated rows are rows like any other; an
-empty table gives no rows; other columns are ignored by :func:`find` and kept by :func:`redact`.
+Defined results: null and empty texts have no spans; a long text is one graph, whole; spans that begin together are in the order of
+:data:`KINDS`, and where kinds tie the first is taken; null ids and repeated rows are rows like any other; an
+empty table gives no rows; other columns, whatever their names, are ignored by :func:`find` and kept by :func:`redact`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import seeded, slices, text_column
+from .common import seeded, slices, text_column, thrifty
 
 KINDS = ("email", "ip", "card", "phone")
 _AT_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -266,10 +267,10 @@ def find(docs: DataFrame, model: dict | None = None, confidence: float = CONFIDE
 
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).mapInArrow(thrifty(run), schema)
 
 
-def _parts(batch: pa.RecordBatch, column: int, step: int = 4 << 20):
+def _parts(batch: pa.RecordBatch, column: int, step: int = 1 << 20):
     """A batch in parts of about `step` bytes of text."""
     c = batch.column(column)
     ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) if c.type == pa.string() else np.arange(len(c) + 1) * 4096
@@ -305,4 +306,4 @@ def redact(docs: DataFrame, model: dict | None = None, confidence: float = CONFI
                     columns[size] = pa.array([len(b) if a != b else c for a, b, c in zip(texts, new, part.column(size).to_pylist())], part.column(size).type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
