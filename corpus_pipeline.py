@@ -1,7 +1,9 @@
 """A training corpus from raw documents: quality, near-duplicates, personal data, mixing, tokens.
 
-Each stage takes what the one before kept and returns the columns of documents, but for the last, which returns tokens.
-Their edge cases are those of the operators they call.
+Each stage takes what the one before kept and returns the columns of documents, but for the last, which returns tokens. In every stage
+null and empty texts are texts without words: the classifier scores them as such, they are nobody's near copy, hold no personal data
+and are mixed in 0 times. Long texts go through whole. Null ids stay, rows that repeat an id and their text are near copies of
+each other, empty tables stay empty, and further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on all labels, takes to be of quality."""
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net).where("predicted = 1").select(*docs.columns)
+    return quality.keep(docs, net)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +58,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage but the last is written to the shared folder and read again."""
-    work = Workspace(spark, "pipeline")
+    work, before = Workspace(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir), name)
         work.release()
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
