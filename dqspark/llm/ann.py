@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, thrifty
+from .common import Workspace, through
 from .nets import Adam
 from .neardup import _bounds, _grouped
 from .vectors import lists, matrix, ranked, sample, usable
@@ -158,7 +158,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, sample_rows: int = SAMPL
             order = np.argsort(-router.probabilities(x), axis=1, kind="stable")[:, : router.probes].astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(x), lists(order)], ["vec_id", "v", "parts"])
 
-    index = work.save(rows.mapInArrow(thrifty(routed), "vec_id long, v array<double>, parts array<int>").withColumn("q", F.monotonically_increasing_id()), "index")
+    index = work.save(through(rows, routed, "vec_id long, v array<double>, parts array<int>").withColumn("q", F.monotonically_increasing_id()), "index")
     is_query = F.col("vec_id") % every == 0
     visits = index.where(is_query).select("q", "vec_id", "v", F.explode("parts").alias("part"))
     homes = index.select("q", "vec_id", "v", F.col("parts")[0].alias("part"))
@@ -203,4 +203,4 @@ def search(df: DataFrame, k: int = 20, every: int = 20, sample_rows: int = SAMPL
                     found = ids[middle + b]
                     yield pa.RecordBatch.from_arrays([pa.array(q[i + a]), pa.array(ids[i + a]), pa.array(found, mask=found == null), pa.array(score)], ["q", "query_id", "vec_id", "score"])
 
-    return ranked(both.mapInArrow(thrifty(rank), "q long, query_id long, vec_id long, score double"), k)
+    return ranked(through(both, rank, "q long, query_id long, vec_id long, score double"), k)

@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_column, thrifty
+from .common import Workspace, text_column, through
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 14, 1 << 9
 SPREAD_CHARS = 1 << 20
@@ -171,18 +171,18 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK_CHARS, o
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
     long = F.length("text") > spread_chars
-    out = rows.where(~long).mapInArrow(thrifty(short), schema)
+    out = through(rows.where(~long), short, schema)
     if rows.where(long).isEmpty():
         return out
     work = work or Workspace(spark, "bpe")
-    chunks = rows.where(long).mapInArrow(cut, "uid binary, doc_id long, k int, part string")
+    chunks = through(rows.where(long), cut, "uid binary, doc_id long, k int, part string")
     chunks = work.save(chunks.groupBy("uid", "doc_id", "k").agg(F.first("part").alias("part"), F.count("*").alias("copies")), "chunks")
-    edges = chunks.select("uid", "k", "part").repartition(F.col("uid"), F.col("k")).mapInArrow(thrifty(pretokenised), "uid binary, k int, head array<int>, tail array<int>")
-    places = edges.groupBy("uid").agg(F.collect_list(F.struct("k", "head", "tail")).alias("edges")).mapInArrow(cuts, "uid binary, k int, first int, last int, piece int")
+    edges = through(chunks.select("uid", "k", "part").repartition(F.col("uid"), F.col("k")), pretokenised, "uid binary, k int, head array<int>, tail array<int>")
+    places = through(edges.groupBy("uid").agg(F.collect_list(F.struct("k", "head", "tail")).alias("edges")), cuts, "uid binary, k int, first int, last int, piece int")
     parts = chunks.join(places, ["uid", "k"]).groupBy("uid", "doc_id", "copies", "piece").agg(F.array_sort(F.collect_list(F.struct("k", "part", "first", "last"))).alias("parts"))
-    raw = parts.select("uid", "doc_id", "copies", "piece", "parts").mapInArrow(thrifty(encoded), "uid binary, doc_id long, copies long, piece int, raw binary")
+    raw = through(parts.select("uid", "doc_id", "copies", "piece", "parts"), encoded, "uid binary, doc_id long, copies long, piece int, raw binary")
     whole = raw.groupBy("uid", "doc_id", "copies").agg(F.array_sort(F.collect_list(F.struct("piece", "raw"))).alias("parts")).select("doc_id", "copies", "parts")
-    return out.unionByName(whole.mapInArrow(thrifty(joined), schema))
+    return out.unionByName(through(whole, joined, schema))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -194,4 +194,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [t.decode(np.frombuffer(x.as_py() or b"", "<u4")).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(thrifty(back), "doc_id long, text string")
+    return through(encoded.select(F.col("doc_id").cast("long"), "ids"), back, "doc_id long, text string")

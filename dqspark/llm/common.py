@@ -24,6 +24,10 @@ LOWER[65:91] += 32
 #: Bytes of text that one vectorised step handles at a time; what a step needs besides is some dozens of times that.
 STEP_BYTES = 1 << 18
 
+#: Bytes that go to a Python worker at a time, and the setting that bounds them, with its default.
+BATCH_BYTES = 4 << 20
+_BATCH, _USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "67108864")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,8 +60,15 @@ def fresh(names: list[str], base: str) -> str:
     return base
 
 
-def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """`run` for mapInArrow; when its task ends, freed memory goes back to the system, as the worker process lives on for later tasks."""
+def through(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH_BYTES, so that neither side of the pipe buffers many texts.
+
+    The session's default becomes BATCH_BYTES for good; another size that a user has set stays. When a task ends,
+    freed memory goes back to the system, as the worker process lives on for later tasks.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _USUAL[0]) in _USUAL:
+        conf.set(_BATCH, str(BATCH_BYTES))
 
     def wrapped(batches):
         try:
@@ -65,7 +76,7 @@ def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         finally:
             hand_back()
 
-    return wrapped
+    return df.mapInArrow(wrapped, schema)
 
 
 def hand_back() -> None:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import LOWER, Workspace, buffers, fresh, hashed_words, mix64, slices, text_column, thrifty
+from .common import LOWER, Workspace, buffers, fresh, hashed_words, mix64, slices, text_column, through
 from .components import components
 
 WORDS, SKETCH, DEPTH, BRANCH = 5, 128, 3, 2
@@ -151,7 +151,7 @@ def paths(reps: DataFrame, trees: int) -> DataFrame:
                 rid, leaf = np.repeat(part.column(0).to_numpy(), nodes.shape[1]), np.tile(np.arange(nodes.shape[1], dtype=np.int32), len(nodes))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rid), pa.array(leaf)], ["node", "rid", "leaf"])
 
-    return reps.select("rid", "sketch").mapInArrow(thrifty(run), "node long, rid long, leaf int")
+    return through(reps.select("rid", "sketch"), run, "node long, rid long, leaf int")
 
 
 def deeper(members: DataFrame, levels: int = 2) -> DataFrame:
@@ -163,7 +163,7 @@ def deeper(members: DataFrame, levels: int = 2) -> DataFrame:
             rid = np.repeat(batch.column(1).to_numpy(), nodes.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rid), pa.array(np.full(len(rid), -1, np.int32))], ["node", "rid", "leaf"])
 
-    return members.select("node", "rid", "sketch").mapInArrow(thrifty(run), "node long, rid long, leaf int")
+    return through(members.select("node", "rid", "sketch"), run, "node long, rid long, leaf int")
 
 
 def shared_nodes(rows: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def candidates(members: DataFrame, least: int, threshold: float, turn: int, part
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return rows.mapInArrow(thrifty(run), "a long, b long").distinct()
+    return through(rows, run, "a long, b long").distinct()
 
 
 def _similar(rows: DataFrame, partitions: int) -> DataFrame:
@@ -303,7 +303,7 @@ def involved(rows: DataFrame, least: int, threshold: float, partitions: int) ->
             found = [rid[np.unique(np.concatenate(ij))] for ij in _pairs(t, least, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*found, np.zeros(0, np.int64)])))], ["rid"])
 
-    return _similar(rows.select("node", "rid", "comp", "n", "sketch"), partitions).mapInArrow(thrifty(run), "rid long").distinct()
+    return through(_similar(rows.select("node", "rid", "comp", "n", "sketch"), partitions), run, "rid long").distinct()
 
 
 def wide_candidates(rows: DataFrame, wide: DataFrame, least: int, threshold: float, trees: int, partitions: int, best: bool) -> DataFrame:
@@ -354,7 +354,7 @@ def wide_candidates(rows: DataFrame, wide: DataFrame, least: int, threshold: flo
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     names = ["node", "rid", "comp", "n", "sketch", "leaf", "mask", "wide"]
-    return _similar(rows.select(*names), partitions).mapInArrow(thrifty(run), "a long, b long").distinct()
+    return through(_similar(rows.select(*names), partitions), run, "a long, b long").distinct()
 
 
 def from_texts(rows: DataFrame, ids: DataFrame, what: str) -> DataFrame:
@@ -365,7 +365,7 @@ def from_texts(rows: DataFrame, ids: DataFrame, what: str) -> DataFrame:
     """
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     some = rows.join(ids.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
-    found = some.mapInArrow(thrifty(lambda b: signed(b, what)), "doc_id long, n long, key binary, extra " + ("array<long>" if what == "members" else "binary"))
+    found = through(some, lambda b: signed(b, what), "doc_id long, n long, key binary, extra " + ("array<long>" if what == "members" else "binary"))
     return found.join(ids.select("rid", "key"), "key").select("rid", "extra")
 
 
@@ -396,7 +396,7 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     percent = round(100 * threshold, 6)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     rows = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
-    signs = work.save(rows.mapInArrow(thrifty(lambda b: signed(b, "sketch")), "doc_id long, n long, key binary, extra binary"), "signs")
+    signs = work.save(through(rows, lambda b: signed(b, "sketch"), "doc_id long, n long, key binary, extra binary"), "signs")
     some = signs.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     reps = some.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("extra").alias("sketch"))
     reps = work.save(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
@@ -469,7 +469,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.binary())], [*names, key])
 
     rows = docs.select(*[F.col(f"`{n}`") for n in names], text_column().alias(fresh(names, "_filled")))
-    return rows.mapInArrow(thrifty(run), StructType([*docs.schema.fields, StructField(key, BinaryType())])), key
+    return through(rows, run, StructType([*docs.schema.fields, StructField(key, BinaryType())])), key
 
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import seeded, slices, text_column, thrifty
+from .common import seeded, slices, text_column, through
 
 KINDS = ("email", "ip", "card", "phone")
 _AT_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -267,7 +267,7 @@ def find(docs: DataFrame, model: dict | None = None, confidence: float = CONFIDE
 
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).mapInArrow(thrifty(run), schema)
+    return through(docs.select(F.col("doc_id").cast("long"), text_column().alias("text")), run, schema)
 
 
 def _parts(batch: pa.RecordBatch, column: int, step: int = 1 << 20):
@@ -306,4 +306,4 @@ def redact(docs: DataFrame, model: dict | None = None, confidence: float = CONFI
                     columns[size] = pa.array([len(b) if a != b else c for a, b, c in zip(texts, new, part.column(size).to_pylist())], part.column(size).type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(thrifty(run), docs.schema)
+    return through(docs, run, docs.schema)

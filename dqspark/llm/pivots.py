@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Workspace, thrifty
+from .common import Workspace, through
 from .vectors import lists, matrix, ranked, sample, usable
 
 SCALE, PIVOTS, SAMPLE_ROWS, QUERY_BLOCK, CHUNK = 1024, 48, 2048, 2048, 256
@@ -96,7 +96,7 @@ def search(df: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, q
             x = np.floor(SCALE * matrix(batch.column(1), dim))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(x), lists(distances(x, pivot))], ["vec_id", "v", "table"])
 
-    table = work.save(rows.mapInArrow(thrifty(prepared), "vec_id long, v array<double>, table array<double>"), "table")
+    table = work.save(through(rows, prepared, "vec_id long, v array<double>, table array<double>"), "table")
     asked = table.where(F.col("vec_id") % every == 0).select("vec_id", "v")
     n = asked.count()
     asked = work.save(asked.repartition(max(1, -(-n // query_block))).withColumn("q", F.monotonically_increasing_id()), "queries")
@@ -118,7 +118,7 @@ def search(df: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, q
             score = np.clip(np.concatenate([*best.score, np.zeros(0)]), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, sizes)), pa.array(np.repeat(qid, sizes)), pa.array(found, mask=found == null), pa.array(score)], ["q", "query_id", "vec_id", "score"])
 
-        found = table.mapInArrow(thrifty(scan), FOUND)
+        found = through(table, scan, FOUND)
         if n > query_block:
             found = work.save(found, f"found-{b['b']['part']}-{b['b']['of']}")
         out = found if out is None else out.unionByName(found)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import buffers, fresh, slices, text_column, thrifty
+from .common import buffers, fresh, slices, text_column, through
 from .nets import Adam, calibrate, labelled_sample, packed, sigmoid
 
 DIM, STRIDE, BLOCKS, FILTERS, HIDDEN = 8, 4, 4, 24, 16
@@ -204,7 +204,7 @@ def scored(docs: DataFrame, net: Net | None, name: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(s)], [*names, name])
 
     rows = docs.select(*[F.col(f"`{n}`") for n in names], text_column().alias(fresh(names, "_filled")))
-    return rows.mapInArrow(thrifty(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return through(rows, run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def keep(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, buffers, mix64, powers, prefix_hashes, seeded, slices, span_hashes, text_column, thrifty
+from .common import Workspace, buffers, mix64, powers, prefix_hashes, seeded, slices, span_hashes, text_column, through
 from .neardup import _bounds, _grouped
 
 LENGTH, GRAM = 100, 20
@@ -135,8 +135,8 @@ def marks(rows: DataFrame, length: int, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (whole, uid[pick], start[pick], count[pick], anchor[pick])], ["whole", "uid", "start", "windows", "anchor"])
 
     schema = "key long, segment long, uid long, start int, windows int, anchor int, gone boolean"
-    found = rows.select("uid", "text").mapInArrow(thrifty(emit), schema)
-    return found.repartition(partitions, "key").sortWithinPartitions("key", "segment", "uid", "start").mapInArrow(thrifty(settle), _MARK)
+    found = through(rows.select("uid", "text"), emit, schema)
+    return through(found.repartition(partitions, "key").sortWithinPartitions("key", "segment", "uid", "start"), settle, _MARK)
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -323,8 +323,8 @@ def sort_and_compare(rows: DataFrame, borders: DataFrame, length: int, partition
         yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["uid", "start", "end"])
 
     per_doc = borders.groupBy("uid").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("segments"))
-    runs = rows.select("uid", "text").join(per_doc, "uid").select("uid", "text", "segments").mapInArrow(thrifty(cut), "part int, run binary")
-    return runs.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(thrifty(join), "uid long, start int, end int")
+    runs = through(rows.select("uid", "text").join(per_doc, "uid").select("uid", "text", "segments"), cut, "part int, run binary")
+    return through(runs.repartition(partitions, "part").sortWithinPartitions("part"), join, "uid long, start int, end int")
 
 
 def united(ranges: DataFrame, partitions: int) -> DataFrame:
@@ -348,7 +348,7 @@ def united(ranges: DataFrame, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(uid[cuts[:-1]]), lists], ["uid", "spans"])
 
     rows = ranges.select("uid", "start", "end").repartition(partitions, "uid").sortWithinPartitions("uid", "start")
-    return rows.mapInArrow(thrifty(unite), "uid long, spans array<struct<start: long, end: long>>")
+    return through(rows, unite, "uid long, spans array<struct<start: long, end: long>>")
 
 
 def repeated_spans(rows: DataFrame, work: Workspace, length: int = LENGTH) -> DataFrame:
@@ -395,4 +395,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, work: Workspace | None = None,
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.join(spans, "uid", "left").select("doc_id", "text", "spans").mapInArrow(thrifty(cut), schema)
+    return through(rows.join(spans, "uid", "left").select("doc_id", "text", "spans"), cut, schema)

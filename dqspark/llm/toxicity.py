@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, STEP_BYTES, buffers, hashed_words, slices, text_column, thrifty
+from .common import LOWER, STEP_BYTES, buffers, hashed_words, slices, text_column, through
 from .nets import Adam, best_threshold, calibrate, labelled_sample, packed, sigmoid
 
 BUCKETS, DIM, WIDTHS, FILTERS, PREFIX_BYTES = 1 << 15, 10, (1, 2, 3), 8, 5
@@ -205,7 +205,7 @@ def score(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s)], ["doc_id", "lang", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"), F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
-    scored = rows.mapInArrow(thrifty(run), "doc_id long, lang string, score double")
+    scored = through(rows, run, "doc_id long, lang string, score double")
     own = F.lit(None).cast("double")
     for lang, cut in (net.thresholds if net else {}).items():
         own = F.when(F.col("lang") == lang, F.lit(cut)).otherwise(own)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, thrifty
+from .common import Workspace, through
 
 #: Captures that one archive file holds at most, and about how many bytes; a reader holds one file at a time.
 FILE_CAPTURES, FILE_BYTES = 1024, 1 << 28
@@ -125,7 +125,7 @@ def read(spark, path: str, with_payload: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(thrifty(records), schema)
+    return through(files, records, schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:
