@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column
+from pyspark.errors import ParseException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Words and marks that a user's fragment must not contain.
-BLOCKED_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "EXEC", "EXECUTE", "UNION", "GRANT", "REVOKE")
-BLOCKED_MARKS = (";", "--", "/*", "*/")
+BLOCKED_WORDS = ("ALTER", "CREATE", "DELETE", "DROP", "EXEC", "GRANT", "INSERT", "MERGE", "REVOKE", "SELECT", "TRUNCATE", "UNION", "UPDATE")
+BLOCKED_MARKS = ("--", "/*", ";")
 LOOKBACK_MAX_DAYS, LOOKBACK_MAX_PERIODS = 365, 100
 
 _NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
@@ -32,31 +33,32 @@ def quoted(name: str) -> str:
     return f"`{identifier(name)}`"
 
 
+def parsed(text: str) -> str:
+    """Text that Spark's own parser takes for one expression; without a session only its brackets are counted."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        if text.count("(") != text.count(")"):
+            raise UnsafeText("unbalanced brackets")
+        return text
+    try:
+        spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
+    except ParseException as e:
+        raise UnsafeText(f"not an expression: {str(e).splitlines()[0]}") from None
+    return text
+
+
 def expression(text: str) -> str:
     """A scalar expression without statements, comments or subqueries."""
     clean = (text or "").strip()
-    if not clean:
-        raise UnsafeText("empty expression")
-    for mark in BLOCKED_MARKS:
-        if mark in clean:
-            raise UnsafeText(f"{mark!r} is not allowed")
-    if found := _WORD.search(clean):
-        raise UnsafeText(f"{found[1].upper()} is not allowed")
-    return clean
+    bad = [m for m in BLOCKED_MARKS if m in clean] + [w.upper() for w in _WORD.findall(clean)]
+    if bad or not clean:
+        raise UnsafeText(f"not allowed: {', '.join(bad)}" if bad else "empty expression")
+    return parsed(clean)
 
 
 def filter_text(text: str | None) -> str:
-    """An optional condition; brackets must balance, and an empty one stays empty."""
-    if not text or not text.strip():
-        return ""
-    clean, depth = expression(text), 0
-    for ch in clean:
-        depth += (ch == "(") - (ch == ")")
-        if depth < 0:
-            break
-    if depth:
-        raise UnsafeText("unbalanced brackets")
-    return clean
+    """An optional condition; an empty one stays empty."""
+    return expression(text) if text and text.strip() else ""
 
 
 def reference_day(text: str | None) -> str | None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import ir
@@ -100,5 +100,8 @@ def log_summary(entries: DataFrame) -> DataFrame:
     )
 
 
-def newest(entries: DataFrame, n: int = 20) -> DataFrame:
-    return entries.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("at").desc()))).where(F.col("_r") <= n).drop("_r")
+def newest(entries: DataFrame, n: int = 20, **equal) -> DataFrame:
+    """The newest entries of a query log, of those only whose columns equal what is named: status, name, dataset, column_name, cached."""
+    for column, value in equal.items():
+        entries = entries.where(F.col(column) == F.lit(value))
+    return entries.orderBy(F.col("at").desc()).limit(n)

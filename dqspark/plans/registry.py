@@ -29,6 +29,6 @@ def r6(name: str, alias: str | None = None):
     return F.round(F.col(name), 6).alias(alias or name.split(".")[-1])
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """All doubles to six digits, on both engines alike."""
-    return df.select(*[r6(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """All doubles to six digits, or as many as named for a column, on both engines alike."""
+    return df.select(*[F.round(F.col(n), digits.get(n, 6)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])

@@ -1,4 +1,4 @@
-"""Queries over whole tables: what lies outside the rows of their narrow counterparts counts."""
+"""Queries read whole tables: every order, user and event counts."""
 
 import datetime
 
@@ -12,21 +12,21 @@ def test_primary_key_sees_every_order(spark, tmp_path):
     day = datetime.date(2000, 1, 5)
     rows = [(40, 1, 1, day), (41, 1, 1, day), (41, 1, 1, day), (42, 1, 1, datetime.date(2000, 2, 5))]  # the duplicate is in order 41
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
-    r = SPARK["bt_primary_key_whole"](spark, str(tmp_path)).first()
+    r = SPARK["bt_primary_key"](spark, str(tmp_path)).first()
     assert (r["total_periods"], r["periods_fail"]) == (2, 1)
 
 
 def test_allowed_values_sees_every_user(spark, tmp_path):
     rows = [(1, 1, "click", 1.0, datetime.datetime(2024, 1, 1)), (2, 900, "error", 1.0, datetime.datetime(2024, 1, 1)), (3, 900, "view", 1.0, datetime.datetime(2024, 1, 2))]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
-    r = SPARK["bt_allowed_values_whole"](spark, str(tmp_path)).first()
+    r = SPARK["bt_allowed_values"](spark, str(tmp_path)).first()
     assert (r["total_periods"], r["periods_fail"]) == (2, 1)
 
 
 def test_densified_counts_every_event(spark, tmp_path):
     rows = [(1, 7, "click", 1.0, datetime.datetime(2024, 1, 1)), (2, 8, "error", 1.0, datetime.datetime(2024, 1, 1)), (3, 9, "click", 1.0, datetime.datetime(2024, 1, 2))]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
-    got = sorted((r["period"].day, r["category_value"], r["value_count"], r["value_pct"]) for r in SPARK["categorical_densified_whole"](spark, str(tmp_path)).collect())
+    got = sorted((r["period"].day, r["category_value"], r["value_count"], r["value_pct"]) for r in SPARK["categorical_densified"](spark, str(tmp_path)).collect())
     assert got == [(1, "click", 1, 50.0), (1, "error", 1, 50.0), (2, "click", 1, 100.0), (2, "error", 0, 0.0)]
 
 
