@@ -73,8 +73,20 @@ def report(proposals: DataFrame, title: str = "Rules") -> str:
     return "\n".join(lines)
 
 
-def payload(cart: DataFrame, dataset: str, partitions: list[str], columns: list[str]) -> str:
-    """The job's JSON, upper-case keys, rules under VARIAVEIS.GDQ."""
+def rule_columns(cart: DataFrame) -> DataFrame:
+    """column_name: upper-case names that enabled rules refer to: their columns, key columns, and the column that a condition begins with.
+
+    cart has enabled, rule_type, column_name, values, and may have a condition.
+    """
+    own = F.when(F.col("rule_type").isin(ir.PRIMARY_KEY, ir.UNIQUENESS), F.col("values")).otherwise(F.array("column_name"))
+    where = F.regexp_extract("condition", r"^[(\s]*([A-Za-z_]\w*)", 1) if "condition" in cart.columns else F.lit(None).cast("string")
+    names = cart.where("enabled").select(F.explode(F.concat(own, F.array(where))).alias("c"))
+    return names.where(F.col("c").isNotNull() & (F.col("c") != "")).select(F.upper("c").alias("column_name")).distinct()
+
+
+def payload(cart: DataFrame, dataset: str, partitions: list[str], columns: list[str] | None = None) -> str:
+    """The job's JSON, upper-case keys, rules under VARIAVEIS.GDQ; columns are found in the rules unless they are named."""
+    columns = [r["column_name"] for r in rule_columns(cart).collect()] if columns is None else columns
     rules = [{"REGRAGDQ": line} for line in rules_text(cart).split("\n") if line]
     return json.dumps({"TABELA": dataset, "PARTICOES": partitions, "COLUNAS": sorted({c.upper() for c in columns}), "VARIAVEIS": {"GDQ": [{"RegraGDQ": r["REGRAGDQ"]} for r in rules]}})
 

@@ -88,15 +88,27 @@ def excluded(profile: DataFrame) -> DataFrame:
     return profile.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("column_name", "semantic_type", "reason")
 
 
-#: What names hint at, strongest first.
-NAME_HINTS = (
-    ("identifier", r"^(id|num|nr|cpf|cnpj)_|_(id|key|uuid)$|key$"), ("date", r"^(dt|dat|data|date)_|_(date|ts|at)$|date$"), ("code", r"^(cod|cd)_|_code$"), ("flag", r"^(ind|flag|is|has|fl)_|_flag$"),
-    ("amount", r"^(vlr|val|vl)_|_(amount|price|value|cost)$|price$"), ("quantity", r"^(qtd|qt|n)_|_(qty|quantity|count)$|quantity$"), ("rate", r"^(tx|pct|perc)_|_(rate|pct|ratio)$|discount$|tax$"), ("description", r"^(desc|nom|ds)_|_(name|desc|comment)$|name$"),
-)
+#: What a name's beginnings, ends and parts hint at, by priority of the hints.
+NAME_HINTS = {
+    "identifier": (("id_", "sk_", "pk_", "nr_", "num_"), ("_id", "_sk", "_pk", "_cpf", "_cnpj"), ("cpf", "cnpj", "contrato", "matricula", "protocolo", "num_doc", "nr_doc", "documento")),
+    "date": (("dt_", "dat_", "data_", "date_"), ("_dt", "_data", "_date"), ("aniversario", "nascimento", "vencimento", "abertura")),
+    "flag": (("ind_", "flag_", "fl_", "is_", "has_", "tem_"), ("_flag", "_ind"), ("ativo", "inativo", "habilitado")),
+    "amount": (("vlr_", "val_", "amt_", "preco_", "saldo_", "mnt_"), ("_vlr", "_val", "_saldo"), ()),
+    "quantity": (("qtd_", "qtde_", "qty_", "cnt_"), ("_qtd", "_qtde", "_qty"), ()),
+    "percentage": (("pct_", "perc_", "taxa_", "aliq_"), ("_pct", "_perc", "_taxa"), ()),
+    "code": (("cod_", "cd_", "tp_", "tipo_"), ("_cod", "_cd", "_tipo", "_tp"), ("sigla", "uf", "segmento")),
+    "text": (("nom_", "nome_", "desc_", "obs_", "txt_", "motivo_", "razao_"), ("_nome", "_desc", "_descricao", "_obs"), ()),
+}
+
+
+def hint_pattern(hint: str) -> str:
+    """One regular expression for a hint's beginnings, ends and parts."""
+    begins, ends, parts = NAME_HINTS[hint]
+    return "|".join([*(f"^{x}" for x in begins), *(f"{x}$" for x in ends), *parts])
 
 
 def name_hints(stats: DataFrame) -> DataFrame:
-    """column_name, hints, strongest: what the names of columns suggest."""
-    name = F.lower("column_name")
-    hints = F.filter(F.array(*[F.when(name.rlike(p), h) for h, p in NAME_HINTS]), lambda x: x.isNotNull())
+    """column_name, hints, strongest: what the names of columns suggest, strongest first."""
+    name = F.lower(F.trim("column_name"))
+    hints = F.filter(F.array(*[F.when(name.rlike(hint_pattern(h)), h) for h in NAME_HINTS]), lambda x: x.isNotNull())
     return stats.select("column_name", hints.alias("hints")).withColumn("strongest", F.try_element_at("hints", F.lit(1)))

@@ -317,11 +317,46 @@ def robust_choice(s: DataFrame, n: int, k: float = 2.0) -> DataFrame:
     return rows.select("series_id", F.coalesce(F.when((ratio > 2) & (F.coalesce("o", F.lit(0)) >= 2), "robust_iqr").when(ratio > 3, "robust_mad"), F.lit("classical")).alias("choice"))
 
 
-def recalculated(histories: DataFrame, old: DataFrame, guard: Guard, grain: Grain = DAILY) -> DataFrame:
-    """The same proposals under other parameters: banded, backtested, scored and ordered anew; fixed frequency bands stay as they are."""
-    fixed = old.where(F.col("rule_type") == ir.FREQ_STATIC)
-    new = recommended(numeric(histories, guard, grain), grain).join(old.select("proposal_id"), "proposal_id", "left_semi")
-    return new.unionByName(fixed, allowMissingColumns=True)
+def recalculated(histories: DataFrame, old: DataFrame, guard: Guard, grain: Grain = DAILY, rows: DataFrame | None = None, dist: DataFrame | None = None, bounds: tuple = (None, None)) -> DataFrame:
+    """The same proposals under other parameters: banded, backtested, scored and ordered anew; what has no parameters stays as it is.
+
+    `rows` is the history of row counts and `dist` a distribution(period, category_value, value_pct); rules of these stay if it isn't there.
+    """
+    made = [numeric(histories, guard, grain)]
+    names = [f"p{q:02d}" for q in range(100) if f"p{q:02d}" in histories.columns]
+    if names:
+        made.append(percentiles(histories, tuple(names), guard, grain))
+    if rows is not None:
+        made.append(row_count(rows, guard, grain))
+    if dist is not None:
+        top = [r["category_value"] for r in old.where(F.col("rule_type").isin(ir.FREQ_DYNAMIC, ir.FREQ_HYBRID)).select("category_value", "column_name").distinct().collect()]  # a proposal each
+        for r in old.where(F.col("rule_type").isin(ir.FREQ_DYNAMIC, ir.FREQ_HYBRID)).select("rule_type", "column_name").distinct().collect():
+            mode = "dynamic" if r["rule_type"] == ir.FREQ_DYNAMIC else "hybrid"
+            made.append(frequencies(dist, r["column_name"], top, guard, grain, mode, *bounds))
+    new = made[0]
+    for p in made[1:]:
+        new = new.unionByName(p, allowMissingColumns=True)
+    new = new.join(old.where(F.col("rule_type").isin(*ir.DYNAMIC_TYPES)).select("proposal_id"), "proposal_id", "left_semi")
+    stay = old.select(*[c for c in old.columns if c in new.columns]).join(new.select("proposal_id"), "proposal_id", "left_anti")
+    return recommended(new.unionByName(stay, allowMissingColumns=True), grain)
+
+
+def calibrated(histories: DataFrame, calibration: DataFrame, known: DataFrame | None = None, grain: Grain = DAILY, least: str = "HIGH") -> DataFrame:
+    """Mean and deviation proposals of all columns under their own calibrated parameters, where confidence is enough and there is no such rule yet.
+
+    calibration has a row per column: series_id is its name. Columns with equal parameters share one plan.
+    """
+    enough = ("HIGH",) if least == "HIGH" else ("HIGH", "MEDIUM")
+    good = calibration.where(F.col("confidence").isin(*enough))
+    out = None
+    settings = good.groupBy("n", "sigma", "margin_pct", "margin_enabled").agg(F.collect_list("series_id").alias("columns")).collect()  # at most a column each
+    for r in settings:
+        guard = Guard(r["n"], r["sigma"], r["margin_pct"], r["margin_enabled"])
+        p = numeric(histories.where(F.col("column_name").isin(r["columns"])), guard, grain).where(F.col("rule_type").isin(ir.MEAN, ir.STDDEV))
+        out = p if out is None else out.unionByName(p)
+    if out is None:
+        return numeric(histories.limit(0), Guard(), grain)
+    return out if known is None else out.join(known.select("rule_type", "column_name"), ["rule_type", "column_name"], "left_anti")
 
 
 def subpopulation(df: DataFrame, column: str, condition: str, guard: Guard = Guard(), grain: Grain = DAILY) -> DataFrame:

@@ -68,3 +68,18 @@ def strategy(profile: DataFrame) -> DataFrame:
         .otherwise(F.array(mean(), spread(), volume, complete))
     )
     return profile.select("series_id", "regime", F.explode(bundle).alias("r")).select("series_id", "regime", "r.*")
+
+
+def warnings(profile: DataFrame) -> DataFrame:
+    """series_id, warnings: what in a profile calls for caution with bands, with the figure that shows it."""
+    say = lambda text, *args: F.format_string(text, *[F.col(a) for a in args])
+    found = F.array(
+        F.when(F.col("regime") == "STRUCTURAL_BREAK", F.concat(F.lit("the level changed"), F.coalesce(F.concat(F.lit(" on "), F.col("change_point_date").cast("string")), F.lit("")), F.lit(": use only the periods since"))),
+        F.when((F.col("regime") == "TRENDING") | F.col("has_trend"), say("a trend of %.4f a period: use a shorter window", "drift_slope")),
+        F.when(F.col("is_seasonal"), say("a weekly pattern of strength %.2f: use whole weeks", "seasonality_strength")),
+        F.when(F.col("is_volatile"), say("values vary by %.2f of their mean: false alarms are likely", "cv")),
+        F.when(F.col("is_asymmetric"), say("skewness of %.2f: symmetric bands alert on one side", "skewness")),
+        F.when(F.col("is_zero_inflated"), say("%.0f %% zeros distort the mean: watch completeness", "zero_pct")),
+        F.when(F.col("is_sparse"), say("%.0f %% of periods have no value: statistics rest on few points", "null_pct")),
+    )
+    return profile.select("series_id", F.filter(found, lambda x: x.isNotNull()).alias("warnings"))

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("flagship", "histories", "analytics", "ruleplans", "tuning", "outcomes")
+MODULES = ("flagship", "histories", "analytics", "ruleplans", "tuning", "outcomes", "checks")
 
 
 def queries():

@@ -215,12 +215,6 @@ def date_format_detect(spark, sf_dir):
     return dates.format_votes(table(spark, sf_dir, "orders").select(d.alias("d")), "d")
 
 
-@query("SELECT * FROM (VALUES ('customer_id', 'identifier'), ('o_orderdate', 'date'), ('o_totalprice', 'amount'), ('l_quantity', 'quantity'), ('c_name', 'description')) v(column_name, strongest)")
-def name_hints(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in ("customer_id", "o_orderdate", "o_totalprice", "l_quantity", "c_name", "xyz")], "column_name string")
-    return P.name_hints(names).where("strongest IS NOT NULL").select("column_name", "strongest")
-
-
 @query("""WITH p(population) AS (SELECT count(*) FROM lineitem UNION ALL SELECT 100 * count(*) FROM lineitem UNION ALL SELECT 100000 * count(*) FROM lineitem),
 n AS (SELECT population, 0.25 * power(1.96 / 0.05, 2) AS n0 FROM p), a AS (SELECT population, CAST(greatest(1, ceil(n0 / (1 + (n0 - 1) / population))) AS BIGINT) AS sample_size FROM n)
 SELECT CAST(population AS BIGINT) AS population, sample_size, CASE WHEN population >= 50000 AND 100.0 * sample_size / population <= 50 THEN round(least(greatest(100.0 * sample_size / population, 0.1), 100.0 * 500000 / population), 4) END AS sample_pct FROM a""")

@@ -12,6 +12,15 @@ RULE_TYPES = (MEAN, STDDEV, ROW_COUNT, COMPLETENESS, ALLOWED, DISTINCT, DISTINCT
 DYNAMIC_TYPES = (MEAN, STDDEV, ROW_COUNT, FREQ_DYNAMIC, FREQ_HYBRID, PERCENTILE)
 SIMPLE_TYPES = (COMPLETENESS, ALLOWED, DISTINCT, DISTINCT_RANGE, PRIMARY_KEY)
 
+#: How far each rule type has been tried in the job that runs rules.
+VALIDATED, EXPERIMENTAL, UNKNOWN = "validated", "experimental", "unknown"
+CAPABILITY = dict.fromkeys(RULE_TYPES, VALIDATED)
+
+
+def capability(rule_type: str) -> str:
+    """validated, experimental, or unknown for types that nothing is known of."""
+    return CAPABILITY.get(rule_type, UNKNOWN)
+
 
 @dataclass(frozen=True)
 class Guard:

@@ -17,6 +17,9 @@ PRICE, PRICES, LEAST_BYTES = 5.0, {"sa-east-1": 9.0}, 10_000_000
 WARN_USD, STOP_USD = 0.50, 3.00
 TIMEOUTS = ((500_000_000, 600), (100_000_000, 360), (10_000_000, 240))
 DEFAULT_TIMEOUT = 120
+TTL = {"metadata": 3600, "profiling": 1800, "history": 900}
+#: Rows of a result that are kept at most; larger ones are asked for again.
+CACHED_ROWS = 100_000
 LOG = "at double, name string, dataset string, column_name string, ms long, rows long, bytes long, cost_usd double, status string, cached boolean"
 _FILE = re.compile(r"[A-Za-z0-9_\-]{1,80}")
 
@@ -42,7 +45,7 @@ class QuerySession:
     """Runs actions under a log, a cost guard and a timeout."""
 
     def __init__(self, spark: SparkSession, region: str = "", stop_usd: float = STOP_USD):
-        self.spark, self.region, self.stop_usd, self.bypass, self.entries = spark, region, stop_usd, False, []
+        self.spark, self.region, self.stop_usd, self.bypass, self.entries, self.results = spark, region, stop_usd, False, [], {}
 
     @property
     def spent(self) -> float:
@@ -84,6 +87,21 @@ class QuerySession:
             entry["ms"] = int((time.time() - began) * 1000)
             self.entries.append(entry)
 
+    def frame(self, sql: str, name: str = "", **views: DataFrame) -> DataFrame:
+        """The result of SQL text over DataFrames, named in it as {name}; nothing runs until it is asked for."""
+        return self.spark.sql(sql, **views)
+
+    def cached(self, key: str, kind: str, df: DataFrame, name: str, **about) -> list:
+        """collect(), or what it gave for the same key not longer ago than the kind's time to live; the key is a source's fingerprint and what is asked of it."""
+        at, out = self.results.get((kind, key), (0.0, None))
+        if out is not None and time.time() - at < TTL[kind]:
+            self.entries.append({"at": time.time(), "name": name, "dataset": about.get("dataset", ""), "column_name": about.get("column", ""), "ms": 0, "rows": len(out), "bytes": 0, "cost_usd": 0.0, "status": "ok", "cached": True})
+            return out
+        out = self.collect(df, name, **about)
+        if len(out) <= CACHED_ROWS:
+            self.results[kind, key] = (time.time(), out)
+        return out
+
     def log(self) -> DataFrame:
         return self.spark.createDataFrame([tuple(e.values()) for e in self.entries], LOG)
 
