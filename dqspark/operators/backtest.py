@@ -57,39 +57,34 @@ def weighted_coverage(points: DataFrame) -> DataFrame:
     return g.select("series_id", F.round(F.col("p") / F.col("t") * 100, 2).alias("weighted_coverage_pct"))
 
 
-def _steps(variation: Column) -> Column:
-    return F.when(variation < 0.05, 1.0).when(variation < 0.10, 0.8).when(variation < 0.20, 0.6).when(variation < 0.30, 0.4).otherwise(0.2)
-
-
 def stability(s: DataFrame, n: int, k: float, min_history: int = 7, margin_pp: float | None = None) -> DataFrame:
     """How much the band of the last n points moves for n - 2 and n + 2; percentages if a margin in points is given."""
-    sizes = (n, max(min_history, n - 2), max(min_history, n + 2))
-    rn = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("idx").desc()))
-    rows = valid(s).withColumn("rn", rn)
-    aggs = [F.count("*").alias("nv")]
-    for i, size in enumerate(sizes):
-        v = F.when(F.col("rn") <= size, F.col("value"))
-        aggs += [F.avg(v).alias(f"m{i}"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"s{i}"), F.count(v).alias(f"c{i}")]
-    g = rows.groupBy("series_id").agg(*aggs)
-
-    def edges(i: int) -> tuple[Column, Column]:
-        m, reach = F.col(f"m{i}"), k * F.col(f"s{i}")
+    return stabilities(s, (n,), (k,), min_history, margin_pp).select("series_id", "stability_score")
+
+
+def stabilities(s: DataFrame, ns, sigmas, min_history: int = 7, margin_pp: float | None = None) -> DataFrame:
+    """series_id, n, k, stability_score for all sizes and sigmas: moments of all sizes in one aggregate, sigmas by arithmetic."""
+    # as SQL text: some hundreds of small expressions, which cost seconds as so many calls into the JVM
+    nearby = {n: (n, max(min_history, n - 2), max(min_history, n + 2)) for n in ns}
+    rows = valid(s).withColumn("rn", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("idx").desc())))
+    sizes = sorted({x for near in nearby.values() for x in near})
+    moments = {"m": "avg(value) FILTER (WHERE rn <= {0})", "s": "coalesce(stddev_samp(value) FILTER (WHERE rn <= {0}), 0.0D)", "c": "count(value) FILTER (WHERE rn <= {0})"}
+    g = rows.groupBy("series_id").agg(F.count("*").alias("nv"), *[F.expr(f"{e.format(x)} AS {c}{x}") for x in sizes for c, e in moments.items()])
+
+    def width(size: int, k: float) -> str:
+        m, reach = f"m{size}", f"{k}D * s{size}"
         if margin_pp is None:
-            return m - reach, m + reach
-        return F.greatest(m - reach - margin_pp, F.lit(-0.01)), F.least(m + reach + margin_pp, F.lit(100.01))
-
-    def width(i: int) -> Column:
-        lo, hi = edges(i)
-        return hi - lo
-
-    scale = F.when(F.col("m0") != 0, F.abs("m0")).otherwise(F.lit(1.0)) if margin_pp is None else F.when(F.col("m0") > 1, F.col("m0")).otherwise(F.lit(100.0))
-    moves = []
-    for i in (1, 2):
-        moved = F.abs(F.col(f"m{i}") - F.col("m0")) / scale
-        widened = F.when(width(0) > 0, F.abs(width(i) - width(0)) / F.when(width(0) > 0, width(0))).otherwise(F.lit(0.0))
-        moves.append(F.when(F.col(f"c{i}") >= 3, F.greatest(moved, widened)).otherwise(F.lit(0.5)))
-    score = F.when((F.col("nv") < min_history + 4) | (F.col("c0") < 3), 0.5).otherwise(_steps(F.greatest(*moves)))
-    return g.select("series_id", score.alias("stability_score"))
+            return f"(({m} + {reach}) - ({m} - {reach}))"
+        return f"(least({m} + {reach} + {margin_pp}D, 100.01D) - greatest({m} - {reach} - {margin_pp}D, -0.01D))"
+
+    def score(n: int, k: float) -> str:
+        mean, own = f"m{n}", width(n, k)
+        scale = f"if({mean} != 0, abs({mean}), 1.0D)" if margin_pp is None else f"if({mean} > 1, {mean}, 100.0D)"
+        moves = [f"if(c{x} >= 3, greatest(abs(m{x} - {mean}) / {scale}, if({own} > 0, abs({width(x, k)} - {own}) / nullif({own}, 0), 0.0D)), 0.5D)" for x in nearby[n][1:]]
+        return f"if(nv < {min_history + 4} OR c{n} < 3, 0.5D, transform(array(greatest({', '.join(moves)})), v -> CASE WHEN v < 0.05 THEN 1.0D WHEN v < 0.10 THEN 0.8D WHEN v < 0.20 THEN 0.6D WHEN v < 0.30 THEN 0.4D ELSE 0.2D END)[0])"
+
+    every = ", ".join(f"struct({n} AS n, CAST({k} AS DOUBLE) AS k, {score(n, float(k))} AS stability_score)" for n in ns for k in sigmas)
+    return g.selectExpr("series_id", f"inline(array({every}))")
 
 
 def summary(s: DataFrame, points: DataFrame, stable: DataFrame | None = None, percent: bool = False) -> DataFrame:

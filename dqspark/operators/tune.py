@@ -1,8 +1,7 @@
 """Calibration and grid search: all series and all parameter tuples in one plan.
 
 Frames of several sizes share one exchange and sort; bands are arithmetic on top. Choosing is an aggregate over candidates, never
-a loop over series. Inputs and measures that several branches read are persisted: they are a row per period or combination, and a
-lost block is computed again.
+a loop over series; a series' measures are one short array, out of which calibration chooses.
 """
 
 from __future__ import annotations
@@ -34,13 +33,12 @@ def choose_n(profile: DataFrame, grain: Grain = DAILY) -> DataFrame:
     return out.select("series_id", F.col("_n").cast("int").alias("n"))
 
 
-def own_frames(s: DataFrame, sizes: DataFrame, min_history: int = 7) -> DataFrame:
-    """Moments of the n rows before each point, where n is the series' own: the series as an array, sliced per point."""
-    arrays = s.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("a")).join(sizes, "series_id")
-    at = s.where(F.col("value").isNotNull()).join(arrays, "series_id")
-    first = F.greatest(F.col("idx") - F.col("n"), F.lit(0))
-    before = F.filter(F.transform(F.slice("a", first + 1, F.col("idx") - first), lambda x: x["value"]), lambda v: v.isNotNull())
-    at = at.withColumn("_b", before).withColumn("n_history", F.size("_b")).where(F.col("n_history") >= max(min_history, 3))
+def own_frames(s: DataFrame, sizes: DataFrame, min_history: int = 7, largest: int = max(WEEKS)) -> DataFrame:
+    """Moments of the n rows before each point, where n is the series' own and `largest` at most: of one frame per point, the last n."""
+    w = Window.partitionBy("series_id").orderBy("idx").rowsBetween(-largest, -1)
+    at = s.withColumn("_f", F.collect_list(F.struct("idx", "value")).over(w)).where(F.col("value").isNotNull()).join(sizes, "series_id")
+    own = F.filter("_f", lambda x: (x["idx"] >= F.col("idx") - F.col("n")) & x["value"].isNotNull())
+    at = at.withColumn("_b", F.transform(own, lambda x: x["value"])).withColumn("n_history", F.size("_b")).where(F.col("n_history") >= max(min_history, 3))
     total = F.aggregate("_b", F.lit(0.0), lambda acc, v: acc + v)
     at = at.withColumn("center", total / F.col("n_history"))
     spread = F.aggregate("_b", F.lit(0.0), lambda acc, v: acc + (v - F.col("center")) * (v - F.col("center")))
@@ -54,9 +52,9 @@ def _passes(k: Column, margin: Column, enabled: Column) -> Column:
 
 
 def _combos(sigmas, margins) -> Column:
-    off = [F.struct(F.lit(k).alias("k"), F.lit(0.0).alias("margin"), F.lit(False).alias("enabled")) for k in sigmas]
-    on = [F.struct(F.lit(k).alias("k"), F.lit(m).alias("margin"), F.lit(True).alias("enabled")) for k in sigmas for m in margins]
-    return F.array(*off, *on)
+    """All combinations as an array, by SQL text: so many literals would be as many calls into the JVM."""
+    off = [f"struct({k}D AS k, 0.0D AS margin, false AS enabled)" for k in sigmas]
+    return F.expr("array(" + ", ".join(off + [f"struct({k}D AS k, {m}D AS margin, true AS enabled)" for k in sigmas for m in margins]) + ")")
 
 
 def _measured(points: DataFrame, s: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,31 +80,39 @@ def calibrate(s: DataFrame, profile: DataFrame, grain: Grain = DAILY) -> DataFra
     The smallest sigma that covers enough normal points alone; else the best one with the smallest margin that does; then the margin
     is raised until none of the last points fails, if any margin achieves that.
     """
-    s, profile = s.persist(), profile.persist()
-    sizes = choose_n(profile, grain)
-    points = own_frames(s, sizes, grain.min_history).withColumn("c", F.explode(_combos(SIGMAS, (*MARGINS, *WIDER)))).select("*", "c.*").drop("c")
+    sizes = choose_n(profile, grain).join(profile.select("series_id", "n_valid"), "series_id")
+    points = own_frames(s, sizes.select("series_id", "n"), grain.min_history, max(*WEEKS, grain.default_n)).withColumn("c", F.explode(_combos(SIGMAS, (*MARGINS, *WIDER)))).select("*", "c.*").drop("c")
     points = points.withColumn("passed", _passes(F.col("k"), F.col("margin"), F.col("enabled")))
-    m = _measured(points, s, ["n", "k", "margin", "enabled"]).persist()
-    known = F.col("total") >= MIN_EVALUATED
-    # the first sigma that is enough, else the first of the best
-    rank = F.when(F.col("normal_coverage") >= ENOUGH, F.lit(2.0)).otherwise(F.col("normal_coverage"))
-    bare = m.where(~F.col("enabled") & known).groupBy("series_id").agg(F.max_by(F.struct("k", "normal_coverage"), F.struct(rank, -F.col("k"))).alias("s"))
-    bare = bare.select("series_id", F.when(F.col("s.normal_coverage") > 0, F.col("s.k")).otherwise(F.lit(SIGMAS[0])).alias("sigma"), (F.col("s.normal_coverage") >= ENOUGH).alias("alone"))
-    base = sizes.join(bare, "series_id", "left").select("series_id", "n", F.coalesce("sigma", F.lit(SIGMAS[0])).alias("sigma"), F.coalesce("alone", F.lit(False)).alias("alone"))
-    own = m.join(base.select("series_id", "sigma", "alone"), "series_id").where(F.col("k") == F.col("sigma"))
-    with_margin = own.where(F.col("enabled") & known & F.col("margin").isin(*MARGINS)).groupBy("series_id").agg(F.max_by(F.struct("margin", "normal_coverage"), F.struct(rank, -F.col("margin"))).alias("s"))
-    with_margin = with_margin.select("series_id", F.when(F.col("s.normal_coverage") > 0, F.col("s.margin")).otherwise(F.lit(MARGINS[0])).alias("first_margin"))
-    picked = base.join(with_margin, "series_id", "left").withColumn("start", F.when(F.col("alone"), 0.0).otherwise(F.coalesce("first_margin", F.lit(MARGINS[0]))))
-    fails = own.where(F.col("recent_fails") == 0).join(picked.select("series_id", "start"), "series_id")
-    # from no margin up: the four candidates; from a margin up: 5 and 10 points more, or 20, 25, 30 percent
-    more = F.round(F.col("margin") - F.col("start"), 4)
-    step = F.when(F.col("start") == 0, F.col("margin").isin(*MARGINS)).otherwise((F.col("margin") > F.col("start")) & (more.isin(0.05, 0.10) | F.col("margin").isin(0.20, 0.25, 0.30)))
-    relaxed = fails.where(F.col("enabled") & step).groupBy("series_id").agg(F.min("margin").alias("wider"))
-    current = own.join(picked.select("series_id", "start"), "series_id").where(((F.col("start") == 0) & ~F.col("enabled")) | (F.col("enabled") & (F.col("margin") == F.col("start")) & (F.col("start") > 0))).select("series_id", F.col("recent_fails").alias("fails_now"))
-    final = picked.join(relaxed, "series_id", "left").join(current, "series_id", "left")
-    final = final.withColumn("margin_pct", F.when((F.coalesce("fails_now", F.lit(0)) > 0) & F.col("wider").isNotNull(), F.col("wider")).otherwise(F.col("start"))).withColumn("margin_enabled", F.col("margin_pct") > 0)
-    got = m.select("series_id", F.col("k").alias("sigma"), F.col("margin").alias("margin_pct"), F.col("enabled").alias("margin_enabled"), "total", "coverage_pct", "weighted_coverage_pct", "false_positives", "normal_coverage", "recent_fails")
-    out = final.select("series_id", "n", "sigma", "margin_pct", "margin_enabled").join(got, ["series_id", "sigma", "margin_pct", "margin_enabled"], "left").join(profile.select("series_id", "n_valid"), "series_id")
+    m = _measured(points, s, ["k", "margin", "enabled"])
+    # a series' combinations are one array, out of which everything is chosen
+    fields = ("k", "margin", "enabled", "total", "coverage_pct", "normal_coverage", "recent_fails", "false_positives", "weighted_coverage_pct")
+    base = sizes.join(m.groupBy("series_id").agg(F.collect_list(F.struct(*fields)).alias("_all")), "series_id", "left")
+    base = base.withColumn("_all", F.coalesce("_all", F.array().cast("array<struct<k:double,margin:double,enabled:boolean,total:bigint,coverage_pct:double,normal_coverage:double,recent_fails:bigint,false_positives:bigint,weighted_coverage_pct:double>>")))
+
+    def best(rows: Column, key: str) -> Column:
+        """The first that covers enough, else the first of those that cover most; null if there is none."""
+        rank = lambda x: F.when(x["normal_coverage"] >= ENOUGH, F.lit(2.0)).otherwise(x["normal_coverage"])
+        return F.array_max(F.transform(rows, lambda x: F.struct(rank(x).alias("rank"), (-x[key]).alias("least"), x["normal_coverage"].alias("normal_coverage"))))
+
+    base = base.withColumn("_s", best(F.filter("_all", lambda x: ~x["enabled"] & (x["total"] >= MIN_EVALUATED)), "k"))
+    base = base.withColumn("sigma", F.coalesce(F.when(F.col("_s.normal_coverage") > 0, -F.col("_s.least")), F.lit(SIGMAS[0]))).withColumn("alone", F.coalesce(F.col("_s.normal_coverage") >= ENOUGH, F.lit(False)))
+    base = base.withColumn("_own", F.filter("_all", lambda x: x["k"] == F.col("sigma")))
+    base = base.withColumn("_m", best(F.filter("_own", lambda x: x["enabled"] & (x["total"] >= MIN_EVALUATED) & x["margin"].isin(*MARGINS)), "margin"))
+    first = F.coalesce(F.when(F.col("_m.normal_coverage") > 0, -F.col("_m.least")), F.lit(MARGINS[0]))
+    base = base.withColumn("start", F.when(F.col("alone"), 0.0).otherwise(first))
+
+    def wider(x: Column) -> Column:
+        """From no margin up: the four candidates; from a margin up: 5 and 10 points more, or 20, 25, 30 percent."""
+        more = F.round(x["margin"] - F.col("start"), 4)
+        step = F.when(F.col("start") == 0, x["margin"].isin(*MARGINS)).otherwise((x["margin"] > F.col("start")) & (more.isin(0.05, 0.10) | x["margin"].isin(0.20, 0.25, 0.30)))
+        return x["enabled"] & (x["recent_fails"] == 0) & step
+
+    now = F.filter("_own", lambda x: F.when(F.col("start") == 0, ~x["enabled"]).otherwise(x["enabled"] & (x["margin"] == F.col("start"))))
+    relaxed = F.array_min(F.transform(F.filter("_own", wider), lambda x: x["margin"]))
+    base = base.withColumns({"fails_now": F.coalesce(F.try_element_at(now, F.lit(1))["recent_fails"], F.lit(0)), "wider": relaxed})
+    base = base.withColumn("margin_pct", F.when((F.col("fails_now") > 0) & F.col("wider").isNotNull(), F.col("wider")).otherwise(F.col("start"))).withColumn("margin_enabled", F.col("margin_pct") > 0)
+    got = F.try_element_at(F.filter("_own", lambda x: (x["margin"] == F.col("margin_pct")) & (x["enabled"] == F.col("margin_enabled"))), F.lit(1))
+    out = base.withColumn("_g", got).select("series_id", "n", "n_valid", "sigma", "margin_pct", "margin_enabled", "_g.coverage_pct", "_g.weighted_coverage_pct", "_g.false_positives", "_g.recent_fails")
     cover, fp = F.coalesce("coverage_pct", F.lit(0.0)), F.coalesce("false_positives", F.lit(0))
     enough = F.col("n_valid") >= MIN_EVALUATED
     confidence = F.when(~enough, "LOW").when((cover >= 90) & (fp == 0), "HIGH").when(cover >= 70, "MEDIUM").otherwise("LOW")
@@ -123,16 +129,12 @@ def grid_search(s: DataFrame, ns=GRID_N, sigmas=GRID_SIGMA, margins=MARGINS, sea
     The score rewards normal coverage, stability, no drift, weekly frames of seasonal series, frames after a change, and recency; it
     penalises covered outliers, false positives, wide bands, short frames, and large sigmas and margins.
     """
-    s = s.persist()
     pts = BT.frames(s, list(ns)).where(F.col("value").isNotNull() & (F.col("n_history") >= max(min_history, 3)))
-    combos = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("margin"), F.lit(on).alias("enabled"), F.lit(i).alias("order")) for i, (k, m, on) in enumerate((k, m, on) for k in sigmas for m in margins for on in (True, False))])
+    every = [(k, m, on) for k in sigmas for m in margins for on in ("true", "false")]
+    combos = F.expr("array(" + ", ".join(f"struct({k}D AS k, {m}D AS margin, {on} AS enabled, {i} AS order)" for i, (k, m, on) in enumerate(every)) + ")")
     pts = pts.withColumn("c", F.explode(combos)).select("*", "c.*").drop("c").withColumn("passed", _passes(F.col("k"), F.col("margin"), F.col("enabled")))
     g = _measured(pts, s, ["n", "k", "margin", "enabled", "order"])
-    stable = None
-    for n in ns:
-        for k in sigmas:
-            one = BT.stability(s, n, k, min_history).withColumns({"n": F.lit(n), "k": F.lit(k)})
-            stable = one if stable is None else stable.unionByName(one)
+    stable = BT.stabilities(s, ns, sigmas, min_history)
     changes = S.change_points(s).select("series_id", "n_post")
     season = S.seasonality(s).select("series_id", (F.col("has_seasonality") & (F.col("amplitude_ratio") > 0.10)).alias("weekly"))
     g = g.join(stable, ["series_id", "n", "k"], "left").join(S.drift(s).select("series_id", "has_drift"), "series_id").join(changes, "series_id", "left").join(season, "series_id", "left")
