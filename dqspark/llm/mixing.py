@@ -17,10 +17,17 @@ from .common import WORD_REGEX, Workspace, text_column
 
 #: Rows of all sources that share one bucket of the seeded order, on average.
 BUCKET_ROWS = 1024
+PLACE_BITS = 60
 #: Rows of edge buckets, of some 40 bytes each, that are broadcast at most.
 BROADCAST_ROWS = 200_000
 
 
+def place(seed: int, doc_id, text):
+    """Where a row stands in the seeded order: PLACE_BITS bits of a digest of seed, id and text, which any SQL engine can compute."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), text).cast("binary"))
+    return F.conv(F.substring(digest, 1, PLACE_BITS // 4), 16, 10).cast("long")
+
+
 def n_words(text):
     return F.regexp_count(text, F.lit(WORD_REGEX)).cast("long")
 
@@ -77,11 +84,11 @@ def _mixed(docs: DataFrame, carried: tuple[str, ...], weights=(1.0, 2.0, 3.0), m
     work = work or Workspace(docs.sparkSession, "mix")
     keep = tuple(f"_c{i}" for i in range(len(carried)))
     text = text_column()
-    counted = docs.select("doc_id", "source", *[F.col(c).alias(k) for c, k in zip(carried, keep)], n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("h"))
+    counted = docs.select("doc_id", "source", *[F.col(c).alias(k) for c, k in zip(carried, keep)], n_words(text).alias("size"), place(seed, F.col("doc_id"), text).alias("h"))
     sizes = work.save(counted.drop(*keep), "sizes")
     n = sizes.count()
     buckets = 1 << max(4, min(16, (n // BUCKET_ROWS).bit_length()))
-    bucket = F.pmod(F.col("h"), F.lit(buckets))
+    bucket = F.shiftright("h", PLACE_BITS - buckets.bit_length() + 1).cast("int")
     sizes = sizes.withColumn("bucket", bucket)
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     sources = water_fill(ranked_sources(sizes, work).withColumn("weight", cycle[F.pmod(F.col("rank"), F.lit(len(weights))).cast("int")]), max_epochs)

@@ -100,6 +100,25 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
+#: Water-filling in closed form: sources by cap over weight, of which the first few are clamped; then the seeded order by digest.
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST(3 * source_size AS DOUBLE) AS cap, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
+o AS (
+  SELECT *, cap / weight AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS held,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(CAST(source_size AS DOUBLE)) OVER () AS total FROM w
+), l AS (SELECT (total - held) / rest AS level FROM o WHERE (total - held) / rest <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, least(cap, weight * level) AS target FROM w, l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM t),
+x AS (SELECT *, greatest(round(target) - whole * source_size, 0) AS extra FROM e),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT p.doc_id, p.size, p.source, x.source_size, x.target, CAST(x.whole * p.size + least(greatest(x.extra - p.before, 0), p.size) AS BIGINT) AS taken
+FROM p JOIN x ON p.source IS NOT DISTINCT FROM x.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup": OP2_SQL, "op5_pivots": OP5_SQL, "op7_warc": OP7_SQL}
+    return {"op2_neardup": OP2_SQL, "op5_pivots": OP5_SQL, "op7_warc": OP7_SQL, "op10_mixing": OP10_SQL}
