@@ -336,7 +336,7 @@ def recalculated(histories: DataFrame, old: DataFrame, guard: Guard, grain: Grai
     new = made[0]
     for p in made[1:]:
         new = new.unionByName(p, allowMissingColumns=True)
-    new = new.join(old.where(F.col("rule_type").isin(*ir.DYNAMIC_TYPES)).select("proposal_id"), "proposal_id", "left_semi")
+    new = new.join(old.where(F.col("rule_type") != ir.FREQ_STATIC).select("proposal_id"), "proposal_id", "left_semi")
     stay = old.select(*[c for c in old.columns if c in new.columns]).join(new.select("proposal_id"), "proposal_id", "left_anti")
     return recommended(new.unionByName(stay, allowMissingColumns=True), grain)
 
