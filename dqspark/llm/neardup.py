@@ -34,6 +34,8 @@ from .components import components
 
 WORDS, SKETCH, DEPTH, BRANCH = 5, 128, 3, 2
 THRESHOLD, RECALL = 0.8, 0.999999
+#: Rows of a node that meet its figures together, before they go to blocks.
+PART = 512
 #: Members of a node that are compared in one task, of these the sample that first rounds look at, the size at which nodes branch on, and how often they do.
 BLOCK, SAMPLE, BRANCH_ON, BRANCHINGS = 2048, 64, 1 << 15, 4
 #: Rows of ids and 16-byte keys that are broadcast at most, some 30 MB; beyond that the texts are shuffled.
@@ -265,13 +267,18 @@ def candidates(members: DataFrame, least: int, threshold: float, turn: int, part
 
 
 def _similar(rows: DataFrame, partitions: int) -> DataFrame:
-    """Rows of nodes dealt so that members outside the most frequent component meet all members, block by block on both sides."""
-    counts = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
-    most = counts.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
-    most = most.select("node", F.col("top.comp").alias("top"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("p_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("m_blocks")).where("p_blocks > 0")
+    """Rows of nodes dealt so that members outside the most frequent component meet all members, block by block on both sides.
+
+    Rows meet the figures of their node by part of it, so no task takes a whole large node.
+    """
+    counts = rows.groupBy("node", "size", "comp").agg(F.count("*").alias("k"))
+    most = counts.groupBy("node", "size").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
+    most = most.select("node", "size", F.col("top.comp").alias("top"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("p_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("m_blocks")).where("p_blocks > 0")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    most = most.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size")
     names = [c for c in rows.columns if c != "size"]
-    rows = rows.join(most, "node")
     h = F.xxhash64("rid")
+    rows = rows.withColumn("part", F.pmod(h, parts).cast("int")).drop("size").join(most, ["node", "part"])
     probes = rows.where("comp != top").withColumn("p", F.pmod(h, F.col("p_blocks")).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1))).withColumn("role", F.lit(1))
     others = rows.withColumn("m", F.pmod(h, F.col("m_blocks")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1))).withColumn("role", F.lit(0))
     columns = ["node", "p", "m", "role", *[c for c in names if c != "node"]]
@@ -303,7 +310,7 @@ def involved(rows: DataFrame, least: int, threshold: float, partitions: int) ->
             found = [rid[np.unique(np.concatenate(ij))] for ij in _pairs(t, least, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*found, np.zeros(0, np.int64)])))], ["rid"])
 
-    return through(_similar(rows.select("node", "rid", "comp", "n", "sketch"), partitions), run, "rid long").distinct()
+    return through(_similar(rows.select("node", "rid", "size", "comp", "n", "sketch"), partitions), run, "rid long").distinct()
 
 
 def wide_candidates(rows: DataFrame, wide: DataFrame, least: int, threshold: float, trees: int, partitions: int, best: bool) -> DataFrame:
@@ -353,7 +360,7 @@ def wide_candidates(rows: DataFrame, wide: DataFrame, least: int, threshold: flo
                     a, b = rid[a], rid[b]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    names = ["node", "rid", "comp", "n", "sketch", "leaf", "mask", "wide"]
+    names = ["node", "rid", "size", "comp", "n", "sketch", "leaf", "mask", "wide"]
     return through(_similar(rows.select(*names), partitions), run, "a long, b long").distinct()
 
 
