@@ -3,8 +3,8 @@
 Distances of every vector to some dozens of pivots are computed once and kept in a table beside the vectors. For a
 query, the triangle inequality over all pivots gives a least distance to each vector, and so a greatest inner
 product: q.x = (|q|^2 + |x|^2 - d(q,x)^2) / 2. Vectors are evaluated in the order of these bounds until the next bound
-is below the k-th score found. Queries go out in blocks of bounded size; each block meets all vectors where these
-are, and only lists of k are shuffled.
+is below the k-th score found. Queries go out in groups of bounded size, one job each; a task reads its vectors
+once for a group and compares them in blocks of queries. Vectors stay where they are, and only lists of k are shuffled.
 
 Defined results: vectors of other lengths end in zeros; components count as floor(1024 * x); rows of the same id as the
 query's are its own and no candidates; queries that repeat are answered each; null ids are no queries and come last
@@ -23,6 +23,8 @@ from .common import Workspace, through
 from .vectors import lists, matrix, ranked, sample, usable
 
 SCALE, PIVOTS, SAMPLE_ROWS, QUERY_BLOCK, CHUNK = 1024, 48, 2048, 2048, 256
+#: Bytes of query vectors that one job carries to all tasks.
+JOB_BYTES = 16 << 20
 FOUND = "q long, query_id long, vec_id long, score long"
 
 
@@ -83,7 +85,7 @@ class Best:
             self.score[i], self.found[i] = score, found
 
 
-def search(df: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, work: Workspace | None = None) -> DataFrame:
+def search(df: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, job_bytes: int = JOB_BYTES, work: Workspace | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for each row of df(vec_id, embedding) whose id `every` divides."""
     spark = df.sparkSession
     work = work or Workspace(spark, "pivots")
@@ -99,27 +101,32 @@ def search(df: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, q
     table = work.save(through(rows, prepared, "vec_id long, v array<double>, table array<double>"), "table")
     asked = table.where(F.col("vec_id") % every == 0).select("vec_id", "v")
     n = asked.count()
-    asked = work.save(asked.repartition(max(1, -(-n // query_block))).withColumn("q", F.monotonically_increasing_id()), "queries")
-    block = F.struct(F.shiftright("q", 33).alias("part"), (F.col("q").bitwiseAND(F.lit((1 << 33) - 1)) / query_block).cast("long").alias("of"))
+    group = max(1, job_bytes // (8 * max(dim, 1) * query_block)) * query_block
+    asked = work.save(asked.repartition(max(1, -(-n // group))).withColumn("q", F.monotonically_increasing_id()), "queries")
+    block = F.struct(F.shiftright("q", 33).alias("part"), (F.col("q").bitwiseAND(F.lit((1 << 33) - 1)) / group).cast("long").alias("of"))
     out = None
-    for b in asked.select(block.alias("b")).distinct().orderBy("b").collect():  # one row per block of queries
+    for b in asked.select(block.alias("b")).distinct().orderBy("b").collect():  # one row per group of queries
         part = asked.where((block["part"] == b["b"]["part"]) & (block["of"] == b["b"]["of"])).orderBy("q").toArrow()
         qv, qid, q = matrix(part.column("v").combine_chunks(), dim), part.column("vec_id").to_numpy(), part.column("q").to_numpy()
 
         def scan(batches, qv=qv, qid=qid, q=q):
-            best, null = Best(qv, qid, pivot, k), np.iinfo(np.int64).max
+            null, starts = np.iinfo(np.int64).max, range(0, len(q), query_block)
+            blocks = [Best(qv[i : i + query_block], qid[i : i + query_block], pivot, k) for i in starts]
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     t = batch.slice(at, 4096)
-                    ids = t.column(0).fill_null(null).to_numpy()
-                    best.add(matrix(t.column(1), dim), ids, matrix(t.column(2), len(pivot)))
-            sizes = [len(s) for s in best.score]
-            found = np.concatenate([*best.found, np.zeros(0, np.int64)])
-            score = np.clip(np.concatenate([*best.score, np.zeros(0)]), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, sizes)), pa.array(np.repeat(qid, sizes)), pa.array(found, mask=found == null), pa.array(score)], ["q", "query_id", "vec_id", "score"])
+                    ids, x, far = t.column(0).fill_null(null).to_numpy(), matrix(t.column(1), dim), matrix(t.column(2), len(pivot))
+                    for best in blocks:
+                        best.add(x, ids, far)
+            for i, best in zip(starts, blocks):
+                sizes = [len(s) for s in best.score]
+                found = np.concatenate([*best.found, np.zeros(0, np.int64)])
+                score = np.clip(np.concatenate([*best.score, np.zeros(0)]), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+                own, asker = np.repeat(q[i : i + query_block], sizes), np.repeat(best.ids, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(asker), pa.array(found, mask=found == null), pa.array(score)], ["q", "query_id", "vec_id", "score"])
 
         found = through(table, scan, FOUND)
-        if n > query_block:
+        if n > group:
             found = work.save(found, f"found-{b['b']['part']}-{b['b']['of']}")
         out = found if out is None else out.unionByName(found)
     if out is None:

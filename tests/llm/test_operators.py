@@ -284,8 +284,9 @@ def test_pivots_are_exact(spark, vector_table):
     want = [(q, r, i, int(s)) for q, r, i, s in exact_ranks(rows, dim, 20, 10, True, False)]
     got = [tuple(r) for r in pivots.search(df, every=20).select("query_id", "rank", "vec_id", "score").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    blocks = [tuple(r) for r in pivots.search(df, every=20, query_block=7).select("query_id", "rank", "vec_id", "score").collect()]
-    assert sorted(blocks, key=str) == sorted(want, key=str)
+    for job_bytes in (pivots.JOB_BYTES, 0):  # blocks of queries in one job, and a job for each of them
+        blocks = [tuple(r) for r in pivots.search(df, every=20, query_block=7, job_bytes=job_bytes).select("query_id", "rank", "vec_id", "score").collect()]
+        assert sorted(blocks, key=str) == sorted(want, key=str)
     assert pivots.search(df.limit(0)).count() == 0 and pivots.search(df.where("vec_id = 0")).count() == 0
 
 
