@@ -17,10 +17,11 @@ def _keys(segment: str | None) -> list[str]:
     return ["period", *([segment] if segment else [])]
 
 
-def numeric(df: DataFrame, column: str | Column, segment: str | None = None, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+def numeric(df: DataFrame, column: str | Column, segment: str | None = None, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
     """Counts, mean, sample deviation, range and nine quantiles by period[, segment]. Segments share one scan.
 
-    Exact quantiles keep a map of a group's values; beyond what a task holds, take the sketch (exact=False).
+    Quantiles are those of a sketch of bounded size, merged from partial ones. Exact ones keep a map of a group's values, so ask for them only
+    where a task holds a period's.
     """
     v = (F.col(column) if isinstance(column, str) else column).cast("double")
     rows = df.select(*_keys(segment), F.nanvl(v, F.lit(None).cast("double")).alias("v"))

@@ -47,7 +47,7 @@ def band_frequency(spark, sf_dir):
 @query(f"""WITH {B.EVENTS}, h AS (SELECT event_type AS series_id, period, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM ev GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY period DESC) AS rn FROM h)
 SELECT series_id, round((avg(lo) + avg(hi)) / 2 + 1e-8, 6) AS center, round(avg(lo) + 1e-8, 6) AS lower, round(avg(hi) + 1e-8, 6) AS upper, CAST(count(*) AS BIGINT) AS n_used FROM r WHERE rn <= 20 GROUP BY 1""")
 def band_percentile(spark, sf_dir):
-    h = H.numeric(B.events(spark, sf_dir), "v", segment="event_type")
+    h = H.numeric(B.events(spark, sf_dir), "v", segment="event_type", exact=True)
     b = S.percentile_band(S.series(h, "p05", "event_type"), S.series(h, "p95", "event_type"), 20).withColumn("n_used", F.col("n_used").cast("long"))
     # quantiles of cents end in whole digits, so ties are common: both engines round them up
     return rounded(b.withColumns({c: F.col(c) + 1e-8 for c in ("center", "lower", "upper")}))

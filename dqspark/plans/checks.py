@@ -160,7 +160,7 @@ def quantile_sketch_error(spark, sf_dir):
     """Whether the ranks of sketched quantiles are off by a row and three per cent of the rows at most."""
     e = B.events(spark, sf_dir)
     shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    h = H.numeric(e, "v", exact=False).select("period", "total_count", "non_null_count", *shares)
+    h = H.numeric(e, "v").select("period", "total_count", "non_null_count", *shares)
     counts = [c for n in shares for c in (F.count_if(F.col("v") < F.col(n)).alias(f"{n}_below"), F.count_if(F.col("v") <= F.col(n)).alias(f"{n}_upto"))]
     g = e.select("period", "v").join(h, "period").groupBy("period", "total_count", "non_null_count").agg(*counts)
     near, slack = F.lit(True), 1 + 0.03 * F.col("non_null_count")

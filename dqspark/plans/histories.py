@@ -96,23 +96,23 @@ def date_range(spark, sf_dir):
 
 @query(f"WITH {B.EVENTS} {numeric_sql('ev')}")
 def numeric_history_daily(spark, sf_dir):
-    return rounded(H.numeric(B.events(spark, sf_dir), "v"))
+    return rounded(H.numeric(B.events(spark, sf_dir), "v", exact=True))
 
 
 @query("WITH o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_totalprice AS v FROM orders WHERE date_trunc('month', o_orderdate) >= DATE '1999-08-02') " + numeric_sql("o"))
 def numeric_history_monthly(spark, sf_dir):
     spec = SourceSpec("orders", date_column="o_orderdate", grain="monthly", lookback=730, reference_day=B.ORDER_DAY)
-    return rounded(H.numeric(spec.resolve(spark, table(spark, sf_dir, "orders")), "o_totalprice"))
+    return rounded(H.numeric(spec.resolve(spark, table(spark, sf_dir, "orders")), "o_totalprice", exact=True))
 
 
 @query(f"WITH {B.EVENTS} {numeric_sql('ev', 'period, event_type')}")
 def numeric_history_segment(spark, sf_dir):
-    return rounded(H.numeric(B.events(spark, sf_dir), "v", segment="event_type"))
+    return rounded(H.numeric(B.events(spark, sf_dir), "v", segment="event_type", exact=True))
 
 
 @query()
 def numeric_history_approx(spark, sf_dir):
-    return H.numeric(B.events(spark, sf_dir), "v", exact=False)
+    return H.numeric(B.events(spark, sf_dir), "v")
 
 
 @query("SELECT CAST(ts AS DATE) AS period, count(DISTINCT CAST(user_id AS VARCHAR)) AS distinct_count, count(*) AS total_count, count(user_id) AS non_null_count FROM events GROUP BY 1")

@@ -133,8 +133,8 @@ def redundancy(spark, sf_dir):
 
 def _histories(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("period", F.trunc(F.to_date("o_orderdate"), "MM"))
-    a = H.numeric(o, "o_totalprice").withColumn("column_name", F.lit("o_totalprice"))
-    b = H.numeric(o, F.when(F.col("o_orderkey") % 25 != 0, F.col("o_custkey"))).withColumn("column_name", F.lit("o_custkey"))
+    a = H.numeric(o, "o_totalprice", exact=True).withColumn("column_name", F.lit("o_totalprice"))
+    b = H.numeric(o, F.when(F.col("o_orderkey") % 25 != 0, F.col("o_custkey")), exact=True).withColumn("column_name", F.lit("o_custkey"))
     return a.unionByName(b)
 
 
