@@ -188,7 +188,7 @@ def _counted(s: DataFrame) -> DataFrame:
 
 def guarded(s: DataFrame, guard: Guard, rule_type: Column, column: Column, metric: Column, grain: Grain = DAILY, break_aware: bool = True, values: Column | None = None) -> DataFrame:
     """Dual-guard proposals of all series: bounds from after a break, the union of both bands, backtested over all points."""
-    s = s.persist()  # bands, backtest and detectors read it; a row per period
+    s = S.held(s)  # bands, backtest and detectors read it; a row per period
     recent = S.after_change(s, S.change_points(s)) if break_aware else s
     bands = S.sigma_band(recent, guard.n, guard.k).select("series_id", F.col("lower").alias("sl"), F.col("upper").alias("su"))
     bands = bands.join(S.margin_band(recent, guard.n, guard.margin).select("series_id", F.col("lower").alias("ml"), F.col("upper").alias("mu")), "series_id")

@@ -14,7 +14,7 @@ REGIMES = ("STRUCTURAL_BREAK", "TRENDING", "SEASONAL", "ZERO_INFLATED", "SPARSE"
 
 def series_profile(s: DataFrame, seasonal: bool = True) -> DataFrame:
     """One row per series: thirteen metrics, seven flags, the regime by priority and the others that hold."""
-    s = s.persist()  # six detectors read it; a row per period
+    s = S.held(s)  # six detectors read it; a row per period
     base = s.groupBy("series_id").agg(F.count("*").alias("n_points"), F.count("value").alias("n_valid"), F.avg("value").alias("m"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.count_if(F.abs("value") < 1e-10).alias("zeros"))
     out = base.join(S.skewness(s), "series_id", "left").join(S.drift(s).drop("n_points"), "series_id", "left").join(S.seasonality(s, SEASON_POINTS).drop("weekday_means"), "series_id", "left")
     out = out.join(S.outliers(s).groupBy("series_id").agg(F.count("*").alias("n_outliers")), "series_id", "left").join(S.change_points(s), "series_id", "left")

@@ -5,6 +5,9 @@ Every operator groups or windows by series_id, so series spread over tasks and o
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,33 @@ from pyspark.sql import functions as F
 EPS = 1e-9
 MAD_FACTOR = 1.4826
 WEEKDAYS = 7
+_holding: ContextVar[list | None] = ContextVar("holding", default=None)
+
+
+@contextmanager
+def holding():
+    """Series that operators persist inside are given back at the end, so write or collect what rests on them before.
+
+    A service that profiles many tables uses one for each; without it they stay until the session ends or storage runs short.
+    """
+    frames: list[DataFrame] = []
+    token = _holding.set(frames)
+    try:
+        yield
+    finally:
+        _holding.reset(token)
+        for s in frames:
+            s.unpersist()
+
+
+def held(s: DataFrame) -> DataFrame:
+    """The series persisted, for operators that read it several times; a row per period."""
+    frames, level = _holding.get(), s.storageLevel
+    known = level.useMemory or level.useDisk
+    s = s.persist()
+    if frames is not None and not known:
+        frames.append(s)
+    return s
 
 
 def series(df: DataFrame, value: str | Column, series_id: str | Column) -> DataFrame:

@@ -122,6 +122,19 @@ def test_nan_counts_as_missing(spark):
     assert S.valid(S.series(df, "value", F.lit("x"))).count() == 1
 
 
+def test_held_series_are_given_back(spark, shapes):
+    s, own = frame(spark, stable=shapes["stable"]), frame(spark, short=shapes["short"]).persist()
+    with S.holding():
+        assert R.series_profile(s).count() == R.series_profile(own).count() == 1
+        assert s.is_cached and s.storageLevel.useMemory
+    assert not s.storageLevel.useMemory and own.storageLevel.useMemory
+    own.unpersist()
+    with pytest.raises(ValueError), S.holding():
+        S.held(s)
+        raise ValueError
+    assert not s.storageLevel.useMemory
+
+
 def test_calibration_of_a_stable_series(spark, shapes):
     s = frame(spark, stable=shapes["stable"], short=shapes["short"])
     found = by_id(T.calibrate(s, R.series_profile(s)))
