@@ -80,9 +80,9 @@ def scored(p: DataFrame, tiers=DAILY.robustness) -> DataFrame:
     w = WEIGHTS
     total = w["coverage"] * F.col("coverage_pct") / 100 + w["stability"] * F.col("stability_score") + w["interpretability"] * F.col("interpretability") + w["cost"] * F.col("cost_efficiency")
     total = total + w["regime"] * F.col("regime_fit") + w["robustness"] * F.col("robustness") - w["fp_risk"] * F.col("fp_risk")
-    total = F.when(tested, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).otherwise(F.lit(0.0))
+    total = F.round(F.when(tested, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).otherwise(F.lit(0.0)), 4)  # before levels: a sum of 0.8 may come out an ulp below
     level = F.when(~tested | (F.col("valid_count") < 3), "LOW").when(total >= SCORE_HIGH, "HIGH").when(total >= SCORE_MEDIUM, "MEDIUM").otherwise("LOW")
-    return out.withColumns({"score_total": F.round(total, 4), "confidence": level})
+    return out.withColumns({"score_total": total, "confidence": level})
 
 
 def estimated_score() -> Column:
