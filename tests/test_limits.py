@@ -1,7 +1,9 @@
-"""Scores at a level's limit."""
+"""Scores at a level's limit, and sketches of many periods within theirs."""
 
 import pytest
 
+from dqspark import plans
+from dqspark.operators import history as H
 from dqspark.operators import proposals as PR
 from dqspark.rules import ir
 
@@ -13,3 +15,17 @@ def test_levels_go_by_the_score_shown(spark, cover, stable, regime, null_pct, sc
     row = ("a", ir.MEAN, 13, cover, stable, 0, 0.05, 20, regime, null_pct, False)
     got = PR.scored(spark.createDataFrame([row], TESTED)).first()
     assert (got["score_total"], got["confidence"]) == (score, level)
+
+
+def test_distinct_sketches_of_many_days_are_near(spark, tmp_path):
+    rows = spark.range(200 * 3000).selectExpr("id AS event_id", "id AS user_id", "'view' AS event_type", "1.0D AS value", "timestamp_seconds(1704067200 + 86400 * (id % 200)) AS ts")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.queries()["distinct_sketch_error"](spark, str(tmp_path)).collect()
+    assert len(got) == 200 and {r["total_count"] for r in got} == {3000} and all(r["near"] for r in got)
+
+
+def test_distinct_counts_of_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (2, "a"), (2, "a"), (2, None)], "period int, u string")
+    for exact in (False, True):
+        got = sorted(tuple(r) for r in H.distinct_counts(df, "u", exact=exact).collect())
+        assert got == [(1, 0, 2, 0), (2, 1, 3, 2)] and H.distinct_counts(df.limit(0), "u", exact=exact).count() == 0
