@@ -5,6 +5,7 @@ Every operator groups or windows by series_id, so series spread over tasks and o
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -45,10 +46,13 @@ def held(s: DataFrame) -> DataFrame:
 
 
 def series(df: DataFrame, value: str | Column, series_id: str | Column) -> DataFrame:
-    """The canonical form of a history: NaN becomes null, idx counts periods from 0."""
+    """The canonical form of a history: NaN becomes null, idx counts periods from 0.
+
+    A literal of its own tells each from equal ones made before: Spark knows persisted rows by plan, and would give old ones for tables rewritten in place.
+    """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     key = (F.col(series_id) if isinstance(series_id, str) else series_id).cast("string")
-    rows = df.select(key.alias("series_id"), "period", F.nanvl(v, F.lit(None).cast("double")).alias("value"))
+    rows = df.select(key.alias("series_id"), "period", F.nanvl(v, F.lit(None).cast("double")).alias("value")).where(F.lit(uuid.uuid4().hex).isNotNull())
     return rows.withColumn("idx", (F.row_number().over(Window.partitionBy("series_id").orderBy("period")) - 1).cast("int")).select("series_id", "idx", "period", "value")
 
 

@@ -1,5 +1,8 @@
 """Scores at a level's limit, and sketches of many periods within theirs."""
 
+import shutil
+
+import duckdb
 import pytest
 
 from dqspark import plans
@@ -29,3 +32,14 @@ def test_distinct_counts_of_nulls_and_nothing(spark):
     for exact in (False, True):
         got = sorted(tuple(r) for r in H.distinct_counts(df, "u", exact=exact).collect())
         assert got == [(1, 0, 2, 0), (2, 1, 3, 2)] and H.distinct_counts(df.limit(0), "u", exact=exact).count() == 0
+
+
+def test_scores_of_tables_rewritten_in_place(spark, small, tmp_path):
+    def scores(folder, kept):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        shutil.copyfile(f"{small}/orders.parquet", tmp_path / folder / "orders.parquet")
+        duckdb.sql(f"COPY (SELECT * FROM '{small}/events.parquet' WHERE {kept}) TO '{tmp_path / folder}/events.parquet' (FORMAT parquet)")
+        return sorted(map(tuple, plans.queries()["score_proposals"](spark, str(tmp_path / folder)).collect()))
+
+    scores("one", "event_id % 2 = 0")
+    assert scores("one", "event_type <> 'error'") == scores("two", "event_type <> 'error'")
