@@ -168,10 +168,20 @@ def deeper(members: DataFrame, levels: int = 2) -> DataFrame:
     return through(members.select("node", "rid", "sketch"), run, "node long, rid long, leaf int")
 
 
-def shared_nodes(rows: DataFrame) -> DataFrame:
-    """(node, rid, leaf, size) of nodes that hold two vertices at least; of nodes with the same vertices one is kept."""
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rid")).alias("who")).where("size > 1")
-    return rows.join(nodes.groupBy("size", "who").agg(F.min("node").alias("node")).select("node", "size"), "node")
+def shared_nodes(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(node, rid, leaf, size) of nodes that hold two vertices at least; of nodes with the same vertices one is kept.
+
+    Most nodes hold one vertex, so all are only counted, and what names a node's vertices is made for the others.
+    """
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    rows = work.save(rows.join(nodes, "node").select("node", "rid", "leaf", "size"), name)
+    nodes = rows.groupBy("node", "size").agg(F.bit_xor(F.xxhash64("rid")).alias("who"))
+    return rows.join(nodes.groupBy("size", "who").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A list of ids, to be broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def branched(rows: DataFrame, info: DataFrame, work: Workspace, large: int) -> DataFrame:
@@ -180,7 +190,8 @@ def branched(rows: DataFrame, info: DataFrame, work: Workspace, large: int) -> D
     for turn in range(BRANCHINGS):
         if big.isEmpty():
             return out
-        below = work.save(shared_nodes(deeper(big.join(info.select("rid", "sketch"), "rid"))).select(*rows.columns), f"branched-{turn}")
+        below = work.save(shared_nodes(deeper(big.join(info.select("rid", "sketch"), "rid")), work, f"shared-{turn}").select(*rows.columns), f"branched-{turn}")
+        work.drop(f"shared-{turn}")
         out, big = out.unionByName(below.where(F.col("size") <= large)), below.where(F.col("size") > large)
     return out.unionByName(big)
 
@@ -266,10 +277,10 @@ def candidates(members: DataFrame, least: int, threshold: float, turn: int, part
     return through(rows, run, "a long, b long").distinct()
 
 
-def _similar(rows: DataFrame, partitions: int) -> DataFrame:
+def _similar(rows: DataFrame, payload: DataFrame, partitions: int) -> DataFrame:
     """Rows of nodes dealt so that members outside the most frequent component meet all members, block by block on both sides.
 
-    Rows meet the figures of their node by part of it, so no task takes a whole large node.
+    Rows meet the figures of their node by part of it, so no task takes a whole large node, and take their vertex's payload once they are dealt.
     """
     counts = rows.groupBy("node", "size", "comp").agg(F.count("*").alias("k"))
     most = counts.groupBy("node", "size").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
@@ -282,7 +293,8 @@ def _similar(rows: DataFrame, partitions: int) -> DataFrame:
     probes = rows.where("comp != top").withColumn("p", F.pmod(h, F.col("p_blocks")).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1))).withColumn("role", F.lit(1))
     others = rows.withColumn("m", F.pmod(h, F.col("m_blocks")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1))).withColumn("role", F.lit(0))
     columns = ["node", "p", "m", "role", *[c for c in names if c != "node"]]
-    return probes.select(*columns).unionByName(others.select(*columns)).repartition(partitions, "node", "p", "m").sortWithinPartitions("node", "p", "m")
+    dealt = probes.select(*columns).unionByName(others.select(*columns)).join(payload, "rid")
+    return dealt.select(*columns, *[c for c in payload.columns if c != "rid"]).repartition(partitions, "node", "p", "m").sortWithinPartitions("node", "p", "m")
 
 
 def _pairs(t, least: int, threshold: float):
@@ -301,7 +313,7 @@ def _pairs(t, least: int, threshold: float):
                 yield q[x], j[y]
 
 
-def involved(rows: DataFrame, least: int, threshold: float, partitions: int) -> DataFrame:
+def involved(rows: DataFrame, info: DataFrame, least: int, threshold: float, partitions: int) -> DataFrame:
     """(rid): vertices that are similar to one of another component."""
 
     def run(batches):
@@ -310,15 +322,15 @@ def involved(rows: DataFrame, least: int, threshold: float, partitions: int) ->
             found = [rid[np.unique(np.concatenate(ij))] for ij in _pairs(t, least, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*found, np.zeros(0, np.int64)])))], ["rid"])
 
-    return through(_similar(rows.select("node", "rid", "size", "comp", "n", "sketch"), partitions), run, "rid long").distinct()
+    return through(_similar(rows.select("node", "rid", "size", "comp"), info.select("rid", "n", "sketch"), partitions), run, "rid long").distinct()
 
 
 def wide_candidates(rows: DataFrame, wide: DataFrame, least: int, threshold: float, trees: int, partitions: int, best: bool) -> DataFrame:
-    """(a, b): pairs of different components that are similar by both sketches.
+    """(a, b): pairs of different components that are similar by both sketches, which wide(rid, n, sketch, wide) has.
 
     Either each probe's best in a block, or all; each from the first node that it meets in. Small sets are compared as they are.
     """
-    rows = rows.join(wide, "rid")
+    rows = rows.join(wide.select("rid"), "rid")
     mask = rows.where("leaf >= 0").groupBy("rid").agg(F.bit_or(F.expr("shiftleft(1L, leaf)")).alias("mask"))
     rows = rows.join(mask, "rid", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
     least_wide = threshold - 5 * math.sqrt(threshold * (1 - threshold) / WIDE)
@@ -360,8 +372,8 @@ def wide_candidates(rows: DataFrame, wide: DataFrame, least: int, threshold: flo
                     a, b = rid[a], rid[b]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    names = ["node", "rid", "size", "comp", "n", "sketch", "leaf", "mask", "wide"]
-    return through(_similar(rows.select(*names), partitions), run, "a long, b long").distinct()
+    names = ["node", "rid", "size", "comp", "leaf", "mask"]
+    return through(_similar(rows.select(*names), wide, partitions), run, "a long, b long").distinct()
 
 
 def from_texts(rows: DataFrame, ids: DataFrame, what: str) -> DataFrame:
@@ -370,7 +382,7 @@ def from_texts(rows: DataFrame, ids: DataFrame, what: str) -> DataFrame:
     A list of ids that is small enough is broadcast, and no text is shuffled; rows that repeat an id give a set more than once,
     which changes no link.
     """
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = few(ids)
     some = rows.join(ids.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
     found = through(some, lambda b: signed(b, what), "doc_id long, n long, key binary, extra " + ("array<long>" if what == "members" else "binary"))
     return found.join(ids.select("rid", "key"), "key").select("rid", "extra")
@@ -411,8 +423,9 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     if trees * BRANCH**DEPTH > 62:
         raise ValueError("so low a threshold takes more trees than there are bits for paths")
     info, keyed_ids = reps.select("rid", "n", "sketch"), reps.select("rid", "key", "first_id")
-    members = work.save(shared_nodes(paths(reps, trees)).select("node", "rid", "leaf", "size"), "members")
+    members = work.save(shared_nodes(paths(reps, trees), work, "shared").select("node", "rid", "leaf", "size"), "members")
     members = branched(members, info, work, branch_on)
+    info = work.save(info.join(few(members.select("rid").distinct()), "rid", "left_semi"), "info")
     work.release()
     least = math.floor(SKETCH * threshold - 5 * math.sqrt(SKETCH * threshold * (1 - threshold)))
     found = members.select("node", "rid", "leaf", "size")
@@ -425,31 +438,31 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
             apart = state.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
             state = work.save(state.join(apart, "node", "left_semi"), f"apart-{turn}")
             found = state.select("node", "rid", "leaf", "size")
-        state = state.join(info, "rid")
         if turn < rounds:
-            pairs = candidates(state, least, threshold, turn, parts)
+            pairs = candidates(state.join(info, "rid"), least, threshold, turn, parts)
         else:
             if wide is None:
-                some = work.save(involved(state, least, threshold, parts).join(keyed_ids, "rid"), "involved")
-                wide = work.save(from_texts(rows, some, "wide").withColumnRenamed("extra", "wide").dropDuplicates(["rid"]), "wide")
+                some = work.save(involved(state, info, least, threshold, parts).join(keyed_ids, "rid"), "involved")
+                wide = from_texts(rows, some, "wide").withColumnRenamed("extra", "wide").dropDuplicates(["rid"])
+                wide = work.save(info.join(few(some.select("rid")), "rid", "left_semi").join(wide, "rid"), "wide")
                 work.release()
             pairs = wide_candidates(state, wide, least, threshold, trees, parts, best=turn < last)
         pairs = work.save(pairs, f"pairs-{turn}")
         work.release()
         # only documents of candidate pairs get their full sets, once
-        ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+        ids = ends = work.save(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), f"ends-{turn}")
         if sets is not None:
             ids = ids.join(sets.select("rid"), "rid", "left_anti")
         ids = work.save(ids.join(keyed_ids, "rid"), f"ids-{turn}")
         new = work.save(from_texts(rows, ids, "members").withColumnRenamed("extra", "members"), f"sets-{turn}")
         sets = new if sets is None else sets.unionByName(new)
-        new = work.save(confirmed(pairs, sets, percent), f"links-{turn}")
+        new = work.save(confirmed(pairs, sets.join(few(ends), "rid", "left_semi"), percent), f"links-{turn}")
         work.release()
         if comps is not None and new.isEmpty():
             continue
         comps = merged(comps, new, work, f"components-{turn}")
-    stale = [f"{x}-{turn}" for turn in range(last + 1) for x in ("sets", "pairs", "ids", "links", "apart")]
-    for name in ("members", "wide", "involved", *(f"branched-{turn}" for turn in range(BRANCHINGS)), *stale):
+    stale = [f"{x}-{turn}" for turn in range(last + 1) for x in ("sets", "pairs", "ends", "ids", "links", "apart")]
+    for name in ("shared", "info", "members", "wide", "involved", *(f"branched-{turn}" for turn in range(BRANCHINGS)), *stale):
         work.drop(name)
     named = reps.join(comps, reps["rid"] == comps["v"], "left").select("key", "first_id", F.coalesce("comp", "rid").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
@@ -491,14 +504,10 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, **options)
     work.release()
     again = work.save(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-
-    def known(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    out = docs.join(known(gone.unionByName(again).distinct()), "doc_id", "left_anti")
+    out = docs.join(few(gone.unionByName(again).distinct()), "doc_id", "left_anti")
     if again.isEmpty():
         return out.select(*docs.columns)
-    rows, key = keyed(docs.join(known(again), "doc_id", "left_semi").select(*docs.columns))
+    rows, key = keyed(docs.join(few(again), "doc_id", "left_semi").select(*docs.columns))
     stay = found.where("kept").select("doc_id", F.col("key").alias(key)).distinct()
     none = rows.where(F.col(key).isNull())
     one = rows.where(F.col(key).isNotNull()).join(stay, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])

@@ -240,3 +240,31 @@ def test_rows_that_are_alike_share_the_edge(spark):
         assert abs(taken - own[0]["target"]) <= len(own) if s != "u" else abs(taken - own[0]["target"]) <= 1
         assert all(r["taken"] <= 3 * r["size"] for r in own)
     assert len({r["taken"] for r in out if r["source"] == "s"}) == 1
+
+
+def test_near_duplicates_exchange_little(spark):
+    """Payloads are exchanged only for vertices that take part: sketches, wide sketches and sets were, several times each."""
+    pick = random.Random(5)
+    rows = []
+    for i in range(1500):
+        words = [f"w{pick.randrange(5000)}" for _ in range(120)]
+        copies = 12 if i % 50 == 0 else 1
+        for c in range(copies):
+            rows.append((len(rows), " ".join([*words[: 108 + c], *[f"x{c}"] * (c > 0), *words[109 + c :]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before, name = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, "-1")
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    try:
+        at = written()
+        assert neardup.dedup(df, 0.85).count() == len(rows)
+        moved = written() - at
+    finally:
+        spark.conf.set(name, before)
+    size = sum(len(r[1]) for r in rows)
+    assert moved < 7 * size
