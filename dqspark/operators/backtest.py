@@ -87,18 +87,18 @@ def stabilities(s: DataFrame, ns, sigmas, min_history: int = 7, margin_pp: float
     return g.selectExpr("series_id", f"inline(array({every}))")
 
 
-def summary(s: DataFrame, points: DataFrame, stable: DataFrame | None = None, percent: bool = False) -> DataFrame:
+def summary(s: DataFrame, points: DataFrame, stable: DataFrame | None = None, percent: bool = False, known_width: bool = False) -> DataFrame:
     """One row per series of `s`, zeros where nothing was evaluated.
 
     A failed point within four global deviations of the global mean counts as a false positive. The width is that of the
-    last sigma band over its center, or over 100 for small percentages.
+    last sigma band over its center, or over 100 for small percentages; 0 if the center is 0, or, with a known width, that of the last band whose center isn't.
     """
     moments = valid(s).groupBy("series_id").agg(F.avg("value").alias("gm"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("gs"))
     p = points.join(moments, "series_id")
     likely = ~F.col("passed") & (F.col("gs") > 0) & (F.abs(F.col("value") - F.col("gm")) < 4 * F.col("gs"))
     g = p.groupBy("series_id").agg(
         F.count("*").alias("total_periods"), F.count_if("passed").alias("periods_pass"), F.count_if(~F.col("passed")).alias("periods_fail"), F.count_if(likely).alias("false_positive_proxy"),
-        F.max_by(F.struct("lower", "upper", "center"), "idx").alias("b"), F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("period")))).alias("outlier_periods"),
+        F.max_by(F.struct("lower", "upper", "center"), F.when(F.col("center") != 0, F.col("idx")) if known_width else F.col("idx")).alias("b"), F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("period")))).alias("outlier_periods"),
     )
     c = F.col("b.center")
     scale = (F.when(c > 1, c).otherwise(F.lit(100.0))) if percent else F.when(c != 0, F.abs(c))
@@ -118,8 +118,8 @@ def summary(s: DataFrame, points: DataFrame, stable: DataFrame | None = None, pe
     )
 
 
-def dual_guard_summary(s: DataFrame, n: int, k: float = 2.0, margin: float = 0.10, min_history: int = 7, margin_enabled: bool = True) -> DataFrame:
-    return summary(s, dual_guard(s, n, k, margin, min_history, margin_enabled), stability(s, n, k, min_history))
+def dual_guard_summary(s: DataFrame, n: int, k: float = 2.0, margin: float = 0.10, min_history: int = 7, margin_enabled: bool = True, known_width: bool = False) -> DataFrame:
+    return summary(s, dual_guard(s, n, k, margin, min_history, margin_enabled), stability(s, n, k, min_history), known_width=known_width)
 
 
 def frequency_summary(s: DataFrame, points: DataFrame, n: int, k: float, margin_pp: float, min_history: int = 7) -> DataFrame:

@@ -56,6 +56,11 @@ def _flag(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
+def _part(dimension: str, value: Column) -> Column:
+    """A weighted dimension of few digits, as the double nearest to the exact product: sums then end alike on both engines."""
+    return F.round(WEIGHTS[dimension] * value, 9)
+
+
 def _metric(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0.0)) if name in df.columns else F.lit(0.0)
 
@@ -77,10 +82,10 @@ def scored(p: DataFrame, tiers=DAILY.robustness) -> DataFrame:
         "interpretability": _lookup(READABLE, kind, 0.5), "cost_efficiency": _lookup(CHEAP, kind, 0.5), "regime_fit": regime_fit(kind, regime, others),
         "fp_risk": F.when(tested, risk).otherwise(F.lit(0.0)), "robustness": F.greatest(F.round(robust, 4), F.lit(0.0)),
     })
-    w = WEIGHTS
-    total = w["coverage"] * F.col("coverage_pct") / 100 + w["stability"] * F.col("stability_score") + w["interpretability"] * F.col("interpretability") + w["cost"] * F.col("cost_efficiency")
-    total = total + w["regime"] * F.col("regime_fit") + w["robustness"] * F.col("robustness") - w["fp_risk"] * F.col("fp_risk")
-    total = F.round(F.when(tested, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).otherwise(F.lit(0.0)), 4)  # before levels: a sum of 0.8 may come out an ulp below
+    total = WEIGHTS["coverage"] * F.col("coverage_pct") / 100 + _part("stability", F.col("stability_score")) + _part("interpretability", F.col("interpretability")) + _part("cost", F.col("cost_efficiency"))
+    total = total + _part("regime", F.col("regime_fit")) + _part("robustness", F.col("robustness")) - _part("fp_risk", F.col("fp_risk"))
+    total = F.when(tested, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).otherwise(F.lit(0.0))
+    total = F.round(total * 10000) / 10000  # before levels: a sum of 0.8 may come out an ulp below; halves go by the scaled sum, as they do in SQL
     level = F.when(~tested | (F.col("valid_count") < 3), "LOW").when(total >= SCORE_HIGH, "HIGH").when(total >= SCORE_MEDIUM, "MEDIUM").otherwise("LOW")
     return out.withColumns({"score_total": total, "confidence": level})
 

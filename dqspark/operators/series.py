@@ -163,12 +163,15 @@ def rolling_bands(s: DataFrame, n: int, k: float = 2.0, margin: float = 0.10, mi
 
 
 def drift(s: DataFrame, window: int | None = None) -> DataFrame:
-    """Least-squares slope over the position among valid points; a constant series has none."""
+    """Least-squares slope over the position among valid points; a constant series has none.
+
+    r_squared is the square of the correlation, as in SQL: c * c / (vx * vy) puts one of exactly 0.5 above its limit far more often.
+    """
     rows = last(s, window) if window else valid(s)
     x = (F.row_number().over(Window.partitionBy("series_id").orderBy("idx")) - 1).cast("double")
     g = rows.withColumn("x", x).groupBy("series_id").agg(F.count("*").alias("n"), F.covar_pop("value", "x").alias("c"), F.var_pop("value").alias("vy"), F.var_pop("x").alias("vx"), F.avg("value").alias("m"))
     known = (F.col("n") >= 5) & (F.col("vy") > 0)
-    slope, r2 = F.when(known, F.col("c") / F.col("vx")).otherwise(F.lit(0.0)), F.when(known, F.col("c") * F.col("c") / (F.col("vx") * F.col("vy"))).otherwise(F.lit(0.0))
+    slope, r2 = F.when(known, F.col("c") / F.col("vx")).otherwise(F.lit(0.0)), F.when(known, F.pow(F.col("c") / (F.sqrt("vx") * F.sqrt("vy")), F.lit(2.0))).otherwise(F.lit(0.0))
     steep = F.when(F.col("m") != 0, F.abs(slope) > 0.01 * F.abs("m")).otherwise(F.lit(True))
     all_ids = s.select("series_id").distinct().join(g, "series_id", "left")
     return all_ids.select("series_id", F.coalesce(known & (r2 > 0.5) & steep, F.lit(False)).alias("has_drift"), F.coalesce(slope, F.lit(0.0)).alias("slope"), F.coalesce(r2, F.lit(0.0)).alias("r_squared"), F.coalesce("n", F.lit(0)).alias("n_points"))

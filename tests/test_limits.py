@@ -1,4 +1,4 @@
-"""Scores at a level's limit, and sketches of many periods within theirs."""
+"""Scores at a level's limit or of odd series, and sketches of many periods within theirs."""
 
 import shutil
 
@@ -43,3 +43,28 @@ def test_scores_of_tables_rewritten_in_place(spark, small, tmp_path):
 
     scores("one", "event_id % 2 = 0")
     assert scores("one", "event_type <> 'error'") == scores("two", "event_type <> 'error'")
+
+
+ODD = {"few": "CASE WHEN d IN (3, 9) THEN 100.0 + d END", "none": "NULL", "zeros": "CASE WHEN d IN (1, 2, 29) THEN 100.0 + d ELSE 0.0 END", "tie": "CASE WHEN d < 4 THEN 2.0 WHEN d = 4 THEN 4.0 END"}
+
+
+def test_scores_of_odd_series_are_those_of_the_sql(spark, small, tmp_path):
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS event_type, d, CAST({value} AS DOUBLE) AS value FROM range(30) t(d)" for name, value in ODD.items())
+    duckdb.sql(f"COPY (SELECT 17 * (row_number() OVER ()) + 1 AS event_id, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AS ts, event_type, value FROM ({rows}) r) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    shutil.copyfile(f"{small}/orders.parquet", tmp_path / "orders.parquet")
+    df = plans.queries()["score_proposals"](spark, str(tmp_path))
+    c = duckdb.connect()
+    for name in ("events", "orders"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = c.sql(plans.oracle_sql()["score_proposals"]).select(*df.columns).fetchall()
+    assert len(want) >= len(ODD) and sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_scores_that_end_in_a_half_are_rounded_as_in_the_sql(spark):
+    fits = {"STABLE": "1.0", "VOLATILE": "0.6", "TRENDING": "0.5", "SEASONAL": "0.7", "STRUCTURAL_BREAK": "0.3"}
+    cases = [(k * 6.25, stable, regime) for k in range(1, 16, 2) for stable in ("0.2", "0.4", "0.6", "0.8", "1.0") for regime in fits]
+    rows = [(str(i), ir.MEAN, 16, cover, float(stable), 0, 0.5, 20, regime, 0.0, False) for i, (cover, stable, regime) in enumerate(cases)]
+    got = {int(r["proposal_id"]): r["score_total"] for r in PR.scored(spark.createDataFrame(rows, TESTED)).collect()}
+    for i, (cover, stable, regime) in enumerate(cases):
+        want = duckdb.sql(f"SELECT round(greatest(0.0, least(1.0, 0.30 * CAST({cover} AS DOUBLE) / 100 + 0.20 * {stable} + 0.10 + 0.10 + 0.15 * {fits[regime]} + 0.15 * 0.95 - 0.10 * 0.00)), 4)").fetchall()[0][0]
+        assert got[i] == want, cases[i]
